@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BATCH_ROWS = 512
 
 _local_default: list[str] = []
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -47,6 +50,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    shipped(spark)
+
+
+def shipped(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, once in each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    where = Path(tempfile.mkdtemp(prefix="hushgrad-code-")) / "hushgrad-code.zip"
+    with zipfile.ZipFile(where, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(where))
+    _shipped.add(sc.applicationId)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
