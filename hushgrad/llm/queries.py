@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import counts, decontam, packing
 from ._shared import documents
 
 
@@ -12,5 +12,17 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.counted(documents(spark, sf_dir))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.measured(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op5_token_counts": op5_token_counts,
+    "op10_decontamination": op10_decontamination,
+}
 SQL: dict[str, str] = {}

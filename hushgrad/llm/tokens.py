@@ -8,6 +8,7 @@ one bounded cache for as long as it lives.
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 from functools import lru_cache
@@ -15,8 +16,10 @@ from functools import lru_cache
 import tiktoken
 from tokenizers import Tokenizer
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
+
 #: Parts that one worker remembers, and the longest part it remembers.
-CACHE_PARTS, CACHE_CHARS = 400_000, 48
+CACHE_PARTS, CACHE_CHARS = 600_000, 48
 #: The split pattern of the byte-level vocabulary (a fixed value of that format).
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space that follows white space and precedes white space or the end: there the text may not be cut.
