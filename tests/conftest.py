@@ -1,7 +1,10 @@
+import os
 import sys
 from pathlib import Path
 
-import pytest
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # one thread for each of numpy's users, as on executors
+
+import pytest  # noqa: E402
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
