@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, counts, decontam, neardup, neighbours, packing, quality, toxicity
+from . import chat, counts, decontam, neardup, neighbours, packing, personal, quality, toxicity
 from ._shared import documents
 
 
@@ -29,6 +29,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.reported(documents(spark, sf_dir))
+
+
 #: A conversation whose texts are control strings.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op5_token_counts": op5_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_personal_data": op7_personal_data,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
