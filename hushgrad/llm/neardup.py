@@ -1,9 +1,10 @@
 """Near-duplicates: SetSketch bands propose pairs, likelihood thins them out, full shingle sets confirm them.
 
-Documents with equal sets are one class, and only its first document goes on. Bands with several documents propose
-pairs in rounds: first every document with one fixed member of its band, then every pair of one band that is still in
-different components. So large groups of copies come together by a star, in as many pairs as there are documents, and
-all other pairs that share a band are tested, but for those that are already connected.
+Documents with equal sets are one class, and only its first document goes on. Bands with several documents first
+propose each document with one member of its band, the one that shares most bands with others. So large groups of
+copies come together by stars, in as many pairs as there are documents. Documents that still share a band with one not
+known to be connected are compared by the rarest shingles that they share with others, which loses no link and forms few pairs of documents
+that merely hold one long passage.
 """
 
 from __future__ import annotations
@@ -12,18 +13,18 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketches
-from ._shared import arrow_map, dropped, fields, saved
+from ._shared import arrow_map, dropped, fields, saved, small_batches
 from .components import components
 
 #: Links need 100 * intersection >= PERCENT * union. Estimates under SURE are no links (they stray by 0.04 at 0.75).
 PERCENT, SURE = 75, 0.55
-#: Rounds with one member of each band before all remaining pairs are tested.
-STARS = 3
+#: Bits of the map of documents whose texts a join needs (2 MB).
+BITS = 1 << 24
 
 FEATURES = fields(("doc_id", T.LongType()), ("n_shingles", T.LongType()), ("set_key", T.BinaryType()), ("registers", T.BinaryType()))
 
@@ -60,7 +61,7 @@ def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         return one
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(_near_sizes("n_a", "n_b"))
     return arrow_map(joined, make, fields(("a", T.LongType()), ("b", T.LongType())))
 
 
@@ -102,54 +103,116 @@ def linked(docs: DataFrame) -> DataFrame:
 
     key = lambda i: F.xxhash64(i, F.substring("registers", i * sketches.ROWS + 1, sketches.ROWS))
     banded = sets.select("doc_id", "n_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.lit(sketches.BANDS - 1)), key)).alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = saved(banded.join(shared, "band"), "members")
-
-    links: list[DataFrame] = []
-    tested: list[DataFrame] = []
-    for turn in range(STARS + 1):
-        live = members
-        if links:
-            whole = links[0]
-            for x in links[1:]:
-                whole = whole.union(x)
-            group = saved(components(whole), "groups")
-            live = members.join(group, members.doc_id == group.node, "left").select(members["*"], F.coalesce("component", "doc_id").alias("component"))
-        else:
-            live = members.withColumn("component", F.col("doc_id"))
-        mixed = live.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64(F.lit(turn), "doc_id").alias("o"), "doc_id", "n_shingles", "component")).alias("m")).where("low < high")
-        if turn < STARS:
-            centre = mixed.select("band", F.col("m.doc_id").alias("c"), F.col("m.n_shingles").alias("n"), F.col("m.component").alias("other"))
-            near = live.join(centre, "band").where("component <> other")
-            pairs = near.where("100 * least(n, n_shingles) >= 75 * greatest(n, n_shingles)").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
-        else:
-            rest = live.join(mixed.select("band"), "band", "left_semi")
-            x, y = rest.alias("x"), rest.alias("y")
-            pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & F.expr("100 * least(x.n_shingles, y.n_shingles) >= 75 * greatest(x.n_shingles, y.n_shingles)"))
-            pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        pairs = pairs.distinct()
-        for t in tested:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        tested.append(pairs)
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    held = saved(banded.join(shared, "band"), "held")
+    # What a group's copies derive from lies in the largest bands of all: it makes the best centre.
+    weight = held.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    members = saved(held.join(weight, "doc_id").select("band", "doc_id", "n_shingles", "weight"), "members")
+    dropped(held)
+
+    def centres(live: DataFrame) -> DataFrame:
+        at = live.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("o"), "doc_id", "n_shingles")).alias("m")).select("band", F.col("m.doc_id").alias("c"), F.col("m.n_shingles").alias("n"))
+        near = live.join(at, "band").where((F.col("doc_id") != F.col("c")) & _near_sizes("n", "n_shingles"))
+        return near.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         likely = saved(_likely(pairs, sets), "likely")
-        links.append(saved(_confirmed(likely, texts.join(_nodes(likely), texts.doc_id == F.col("node"), "left_semi")), "confirmed"))
+        out = saved(_confirmed(likely, _only(texts, _nodes(likely))), "confirmed")
         dropped(likely)
-    whole = links[0]
-    for x in links[1:]:
-        whole = whole.union(x)
-    group = saved(components(whole), "groups")
+        return out
+
+    star = saved(centres(members), "pairs")
+    links = confirmed(star)
+    known = _nearby(links)
+    live = members.join(known, members.doc_id == known.node, "left").select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    mixed = live.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    rest = saved(live.join(mixed, "band", "left_semi").select("doc_id", "component").distinct(), "rest")
+    pairs = saved(_sharing(texts, rest).join(star, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(confirmed(pairs))
+    group = saved(components(links), "groups")
     named = classes.join(group, classes["first"] == group.node, "left").select("set_key", F.coalesce("component", "first").alias("component"))
     out = made.join(named, "set_key", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    for x in [members, *tested]:
+    for x in (members, star, rest, pairs):
         dropped(x)
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def _nearby(links: DataFrame) -> DataFrame:
+    """(node, component) with the smallest node within two links: part of a component, which is all that pruning needs."""
+    both = saved(links.union(links.select("b", "a")).distinct(), "both")
+    one = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+    reach = both.join(one, both.b == one.node).groupBy("a").agg(F.min("component").alias("component"))
+    return saved(reach.withColumnRenamed("a", "node"), "nearby")
+
+
+def _near_sizes(a: str, b: str):
+    """Whether the sizes of two sets allow the similarity at all."""
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
+def _only(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of some documents. A bitmap of fixed size, whatever their number, keeps most others out of the join."""
+    spark = texts.sparkSession
+    words = nodes.select(F.pmod(F.col("node"), F.lit(BITS)).alias("h")).groupBy(F.floor(F.col("h") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(BITS // 32, np.uint32)
+    bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        bits = sent.value
+        for batch in batches:
+            h = np.mod(batch.column(0).to_numpy(zero_copy_only=False), BITS).astype(np.int64)
+            yield batch.filter(pa.array((bits[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1))
+
+    small_batches(spark)
+    some = texts.where("doc_id is not null").mapInArrow(run, texts.schema)
+    return some.join(nodes, some.doc_id == nodes.node, "left_semi")
+
+
 def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
+def _sharing(texts: DataFrame, rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar, by prefixes of their sets.
+
+    Only shingles that two components share can be in the overlap of such a pair. Of n shingles m are of this kind; an
+    overlap of at least PERCENT of n leaves m - ceil(PERCENT n / 100) of them out at most, so in one order for all,
+    rare ones first, two similar sets share one of their first shingles. No pair is lost; pairs whose m is too small
+    for an overlap, such as strayed copies of one text, are never formed.
+    """
+    chosen = _only(texts, rest.select(F.col("doc_id").alias("node"))).join(rest, "doc_id").select("doc_id", "component", "text")
+
+    def make():
+        def one(batch: pa.RecordBatch) -> dict:
+            sets = [sketches.shingles(text).view(np.int64) for text in batch.column(2).to_pylist()]
+            n = np.array([len(s) for s in sets])
+            at = pa.array(np.repeat(np.arange(len(sets)), n))
+            return {"shingle": np.concatenate(sets), "doc_id": batch.column(0).take(at), "component": batch.column(1).take(at), "n": np.repeat(n, n).astype(np.int32)}
+
+        return one
+
+    schema = fields(("shingle", T.LongType()), ("doc_id", T.LongType()), ("component", T.LongType()), ("n", T.IntegerType()))
+    rows = arrow_map(saved(chosen, "rest-texts"), make, schema)
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    both = saved(rows.join(mixed, "shingle", "left_semi"), "mixed")
+    enough = both.groupBy("doc_id").agg(F.count("*").alias("m"), F.first("n").alias("of")).where(F.col("m") * 100 >= PERCENT * F.col("of")).select("doc_id", "m")
+    able = saved(both.join(enough, "doc_id"), "able")
+    frequency = able.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle", "df")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle"))
+    # Shingles that have become unshared count as left out: they take the first places, which need no rows.
+    shared = able.join(frequency, "shingle")
+    lost = F.col("m") - F.count("*").over(Window.partitionBy("doc_id"))
+    first = shared.withColumn("place", place + lost).where(F.col("place") <= F.col("m") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("shingle", "doc_id", "component", "n", (F.col("m") - F.col("place") + 1).alias("left"))
+    first = saved(first, "prefixes")
+    x, y = first.alias("x"), first.alias("y")
+    # From two sets' first shared shingle on, as much must be left of both as an overlap needs.
+    room = F.least("x.left", "y.left") * (100 + PERCENT) >= PERCENT * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _near_sizes("x.n", "y.n") & room)
+    dropped(both)
+    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each document: the size of its set, the smallest doc_id it is linked with over any path, whether it stays.
 
