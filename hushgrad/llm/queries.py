@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, counts, decontam, neardup, neighbours, packing, personal, quality, toxicity
+from . import chat, counts, decontam, neardup, neighbours, packing, personal, quality, sharding, toxicity
 from ._shared import documents
 
 
@@ -21,6 +21,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.counted(documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_personal_data": op7_personal_data,
