@@ -62,7 +62,7 @@ def _renyi_epsilon(schedules: Sequence[Schedule], delta: float) -> float:
 
 
 def _loss_epsilon(schedules: Sequence[Schedule], delta: float, step: float = 2e-4, points: int = 1 << 19) -> float:
-    """Losses on a grid, rounded up, composed by Fourier transforms; the worse of both directions."""
+    """Losses on a grid, composed by Fourier transforms; the worse of both directions."""
     half = points // 2
     out = 0.0
     for remove in (True, False):
@@ -78,10 +78,13 @@ def _loss_epsilon(schedules: Sequence[Schedule], delta: float, step: float = 2e-
             mixed = (1 - q) * base + q * np.diff(phi((x - 1) / z))
             loss = np.logaddexp(np.log1p(-q) if q < 1 else -np.inf, math.log(q) + (2 * mid - 1) / (2 * z * z))
             mass, loss = (mixed, loss) if remove else (base, -loss)
-            at = np.ceil(loss / step).astype(np.int64)
-            keep = np.abs(at) < half
-            lost += s.releases * (1 - mass[keep].sum())
-            pmf = np.bincount(at[keep] % points, mass[keep], points)
+            # Mass between two grid points goes to both so that it keeps its sum under either distribution
+            # (Doroshenko et al. 2022): never too low, and off by the square of the step only.
+            at = np.floor(loss / step).astype(np.int64)
+            up = mass * np.expm1(-(loss - at * step)) / np.expm1(-step)
+            keep = np.abs(at) < half - 1
+            lost += s.releases * max(0.0, 1 - mass[keep].sum())
+            pmf = np.bincount(at[keep] % points, (mass - up)[keep], points) + np.bincount((at[keep] + 1) % points, up[keep], points)
             log_f += s.releases * np.log(np.fft.rfft(pmf) + 0j)
         pmf = np.maximum(np.fft.irfft(np.exp(log_f), points), 0)
         grid = np.where(np.arange(points) < half, np.arange(points), np.arange(points) - points) * step

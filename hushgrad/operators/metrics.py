@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +141,7 @@ def ranked_walk(scored: DataFrame, ranges: int = RANGES) -> DataFrame:
     """
     cuts = scored.agg(F.percentile_approx("p", [i / ranges for i in range(1, ranges)], 10_000).alias("e")).first().e or []
     cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda e: e > F.col("p"))) if cuts else F.lit(0)
+    part = reduce(lambda a, c: a + (F.col("p") < float(c)).cast("int"), cuts, F.lit(0))
     rows = scored.select("row_id", F.col("p").alias("score"), F.col("y").cast("int").alias("hit"), part.alias("part"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
