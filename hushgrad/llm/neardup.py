@@ -2,9 +2,9 @@
 
 Documents with equal sets are one class, and only its first document goes on. Bands with several documents first
 propose each document with one member of its band, the one that shares most bands with others. So large groups of
-copies come together by stars, in as many pairs as there are documents. Documents that still share a band with one not
-known to be connected are compared by the rarest shingles that they share with others, which loses no link and forms few pairs of documents
-that merely hold one long passage.
+copies come together by stars, in as many pairs as there are documents. Of bands that still hold documents not
+known to be connected, small ones propose their pairs; the documents of large ones are compared by the rarest shingles
+that they share with others, which loses no link and forms few pairs of documents that merely hold one long passage.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .components import components
 
 #: Links need 100 * intersection >= PERCENT * union. Estimates under SURE are no links (they stray by 0.04 at 0.75).
 PERCENT, SURE = 75, 0.55
+#: Documents of a band from which on its pairs are found by rare shingles instead of one by one; no pair is lost.
+LARGE = 48
 #: Bits of the map of documents whose texts a join needs (2 MB).
 BITS = 1 << 24
 
@@ -107,7 +109,7 @@ def linked(docs: DataFrame) -> DataFrame:
     held = saved(banded.join(shared, "band"), "held")
     # What a group's copies derive from lies in the largest bands of all: it makes the best centre.
     weight = held.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    members = saved(held.join(weight, "doc_id").select("band", "doc_id", "n_shingles", "weight"), "members")
+    members = saved(held.join(weight, "doc_id").select("band", "doc_id", "n_shingles", "weight", F.col("n").alias("held")), "members")
     dropped(held)
 
     def centres(live: DataFrame) -> DataFrame:
@@ -124,15 +126,19 @@ def linked(docs: DataFrame) -> DataFrame:
     star = saved(centres(members), "pairs")
     links = confirmed(star)
     known = _nearby(links)
-    live = members.join(known, members.doc_id == known.node, "left").select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    live = members.join(known, members.doc_id == known.node, "left").select("band", "doc_id", "n_shingles", "held", F.coalesce("component", "doc_id").alias("component"))
     mixed = live.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    rest = saved(live.join(mixed, "band", "left_semi").select("doc_id", "component").distinct(), "rest")
-    pairs = saved(_sharing(texts, rest).join(star, ["a", "b"], "left_anti"), "pairs")
+    mixed = saved(live.join(mixed, "band", "left_semi"), "mixed-bands")
+    x, y = mixed.where(F.col("held") <= LARGE).alias("x"), mixed.where(F.col("held") <= LARGE).alias("y")
+    small = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _near_sizes("x.n_shingles", "y.n_shingles"))
+    small = small.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    rest = saved(mixed.where(F.col("held") > LARGE).select("doc_id", "component").distinct(), "rest")
+    pairs = saved(small.union(_sharing(texts, rest)).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     links = links.union(confirmed(pairs))
     group = saved(components(links), "groups")
     named = classes.join(group, classes["first"] == group.node, "left").select("set_key", F.coalesce("component", "first").alias("component"))
     out = made.join(named, "set_key", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    for x in (members, star, rest, pairs):
+    for x in (members, star, mixed, rest, pairs):
         dropped(x)
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
