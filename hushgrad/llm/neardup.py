@@ -140,7 +140,7 @@ def linked(docs: DataFrame) -> DataFrame:
     out = made.join(named, "set_key", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     for x in (members, star, mixed, rest, pairs):
         dropped(x)
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _nearby(links: DataFrame) -> DataFrame:
@@ -222,13 +222,15 @@ def _sharing(texts: DataFrame, rest: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each document: the size of its set, the smallest doc_id it is linked with over any path, whether it stays.
 
-    Null, empty and blank texts have an empty set and stay alone. Equal sets are linked. doc_id names a document;
+    Null, empty and blank texts have an empty set and stay alone; rows without doc_id are copies of others of their set,
+    or stay with null for a component. Equal sets are linked. doc_id names a document;
     of rows that repeat one doc_id with equal texts each is returned, in one component. Other columns are not read.
     """
     return linked(docs)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of documents that stay, with all their columns; exact repeats of a doc_id stay with it."""
+    """The rows of documents that stay, with all their columns; exact repeats of a doc_id stay with it, and rows without
+    doc_id, which cannot be told apart, all stay if one does."""
     stays = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stays, F.col("doc_id") == F.col("stays"), "left_semi")
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")

@@ -91,4 +91,4 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
 
         return one
 
-    return arrow_map(docs.select("doc_id", "text", (crc_mod("doc_id", DIVISOR) == HELD).alias("held_out")), make, SCORES)
+    return arrow_map(docs.select("doc_id", "text", F.coalesce(crc_mod("doc_id", DIVISOR) == HELD, F.lit(False)).alias("held_out")), make, SCORES)

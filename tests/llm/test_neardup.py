@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from hushgrad.llm import neardup, sketches
 from hushgrad.llm.components import components
@@ -49,7 +50,9 @@ def fixture():
     return list(enumerate(texts))
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("large", [48, 1])
+def test_components_equal_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(neardup, "LARGE", large)
     rows = fixture()
     docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, component_id int, band string").repartition(5)
     assert sorted(tuple(r) for r in neardup.near_duplicates(docs).collect()) == brute(rows)
@@ -59,8 +62,9 @@ def test_components_equal_brute_force(spark):
 
 def test_empty_table_and_repeated_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
-    assert sorted(tuple(r) for r in neardup.near_duplicates(docs).collect()) == [(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True)]
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (None, "p q r s t"), (None, "a b c d e f")], "doc_id long, text string")
+    assert sorted((tuple(r) for r in neardup.near_duplicates(docs).collect()), key=str) == [(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (None, 1, None, True), (None, 2, 1, False)]
+    assert neardup.deduplicated(docs).count() == 5  # rows without an id stay together
 
 
 def test_registers_merge_and_estimate():
