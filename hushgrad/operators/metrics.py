@@ -142,7 +142,9 @@ def ranked_walk(scored: DataFrame, ranges: int = RANGES) -> DataFrame:
     cuts = scored.agg(F.percentile_approx("p", [i / ranges for i in range(1, ranges)], 10_000).alias("e")).first().e or []
     cuts = sorted(set(cuts))
     part = reduce(lambda a, c: a + (F.col("p") < float(c)).cast("int"), cuts, F.lit(0))
-    rows = scored.select("row_id", F.col("p").alias("score"), F.col("y").cast("int").alias("hit"), part.alias("part"))
+    # Made rows, so that each score is computed once and not once for every range.
+    made = scored.select(F.inline(F.array(F.struct("row_id", "p", "y"))))
+    rows = made.select("row_id", F.col("p").alias("score"), F.col("y").cast("int").alias("hit"), part.alias("part"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
     starts = starts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("k0"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h0"), F.sum("h").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("positives"))
