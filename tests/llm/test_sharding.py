@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from hushgrad.llm import sharding
 
 
@@ -36,3 +38,31 @@ def test_tiny_and_empty_tables(spark):
     docs = spark.createDataFrame([(0, "a"), (1, "a"), (2, None)], "doc_id long, text string")
     check(sharding.sharded(docs, 5).collect(), ["a", "a", None], 5)
     assert sharding.sharded(docs.limit(0), 5).count() == 0
+
+
+def test_a_group_of_a_third_is_in_as_few_shards_as_hold_it(spark):
+    texts = ["big"] * 792 + [f"copy {i // 3}" for i in range(900)] + [f"unique {i}" for i in range(708)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    where = check(sharding.sharded(docs, 24).collect(), texts, 24)
+    assert len(where["big"]) == 8
+    assert sum(len(w) == 1 for t, w in where.items() if t.startswith("copy")) >= 295
+
+
+def test_rounds_go_on_where_shards_are_nearly_full(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REST", 0)
+    for lone in (0, 60):
+        texts = [f"copy {i // 3}" for i in range(3000)] + [f"unique {i}" for i in range(lone)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+        where = check(sharding.sharded(docs, 6).collect(), texts, 6)
+        together = sum(len(w) == 1 for t, w in where.items() if t.startswith("copy"))
+        assert together >= (1000 if lone else 990), (lone, together)
+
+
+def test_admission_counts_what_leaves():
+    wants = np.zeros((2, 3, 3), int)
+    wants[0, :, 1] = 5, 3, 2
+    wants[1, :, 0] = 4, 4, 1
+    assert sharding.admitted(wants, np.array([1, 0])).tolist() == [0, 0]
+    assert sharding.admitted(wants, np.array([0, 0])).tolist() == [1, 1]
+    wants[0, 2, 2] = 6  # from outside, which opens no shard
+    assert sharding.admitted(wants, np.array([0, 0])).tolist() == [3, 3]
