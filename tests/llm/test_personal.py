@@ -59,3 +59,13 @@ def test_redaction(spark):
     assert out[1].text == "é 😀 write [EMAIL] or [PHONE], password=[SECRET] end" and out[1].n_chars == len(out[1].text)
     assert out[2].text is None and out[3] == (3, "clean", "en", 5)
     assert personal.redacted(docs.limit(0)).count() == personal.reported(docs.limit(0)).count() == 0
+
+
+def test_long_and_padded_secrets_are_covered_to_their_ends(spark):
+    rng = random.Random(3)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    values = [made(129), made(150), made(3000), made(42) + "==", made(43) + "="]
+    texts_ = [f"we sent {v} to them" for v in values] + [f"then password={v} was set" for v in (made(201), made(500), made(30) + "==")]
+    rows = [*enumerate(texts_), (98, "7" * 200_000), (99, "key4" * 100_000)]
+    out = {r.doc_id: r.text for r in personal.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(len(texts_))] == ["we sent [SECRET] to them"] * 5 + ["then password=[SECRET] was set"] * 3
