@@ -36,3 +36,18 @@ def test_query_equals_its_sql(spark, duck, name):
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert all(map(same, g, w)), (cols, g, w)
+
+
+def test_sgd_epoch_goes_through_the_whole_table(spark, monkeypatch):
+    seen, plain = [], catalog.stages.gradient_sum
+
+    def spy(rows, *a):
+        seen.append([r.row_id for r in rows.select("row_id").collect()])
+        return plain(rows, *a)
+
+    monkeypatch.setattr(catalog.training.stages, "gradient_sum", spy)
+    assert catalog.QUERIES["sgd_epoch"](spark, SF).collect()
+    n = catalog.click_rows(spark, SF).count()
+    first = [i for b in seen[: n // len(seen[0])] for i in b]
+    assert len(first) == len(set(first)) > n - len(seen[0])
+    assert sum(map(len, seen)) > n
