@@ -94,6 +94,14 @@ class Heaps:
         self.id[touched[rows[keep]], place[keep]] = all_ids[keep]
 
 
+def _by_length(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Ids and vectors for each length, in the order of rows."""
+    size = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    for n in np.unique(size):
+        at = pa.array(np.flatnonzero(size == n))
+        yield int(n), ids.take(at).to_numpy(), vectors.take(at).flatten().to_numpy().reshape(-1, n)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank from 1, vec_id and the exact cosine of each query's k nearest vectors but itself.
 
@@ -104,33 +112,49 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spark = vectors.sparkSession
     small_batches(spark)
     asked, given = usable(queries), usable(vectors)
-    lengths = [r.n for r in asked.select(F.size("embedding").alias("n")).distinct().orderBy("n").limit(1000).collect()]
+    # Lengths of few queries share a block, so that there are as many scans as blocks, however many lengths there are.
+    blocks, lengths, held = [], [], 0
+    for r in asked.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy("n").collect():
+        if lengths and held + r.rows > BLOCK:
+            blocks.append((lengths, -(-held // BLOCK)))
+            lengths, held = [], 0
+        lengths, held = [*lengths, r.n], held + r.rows
+    if lengths:
+        blocks.append((lengths, -(-held // BLOCK)))
     parts = []
-    for n in lengths:
-        alike = asked.where(F.size("embedding") == n)
-        blocks = max(1, -(-alike.count() // BLOCK))
-        for i in range(blocks):
-            block = alike.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).distinct().orderBy("vec_id").toArrow()
+    for lengths, pieces in blocks:
+        alike = asked.where(F.size("embedding").isin(lengths))
+        for i in range(pieces):
+            block = alike.where(F.pmod(F.xxhash64("vec_id"), F.lit(pieces)) == i).distinct().orderBy("vec_id").toArrow()
             if block.num_rows == 0:
                 continue
-            sent = spark.sparkContext.broadcast(Queries(block.column("vec_id").to_numpy(), block.column("embedding").combine_chunks().flatten().to_numpy().reshape(block.num_rows, n)))
+            sent = spark.sparkContext.broadcast({n: Queries(ids, x) for n, ids, x in _by_length(block.column("vec_id").combine_chunks(), block.column("embedding").combine_chunks())})
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                heaps, tiles, held = {}, {}, 0
+
+                def flush() -> None:
+                    for n, tile in tiles.items():
+                        if n not in heaps:
+                            heaps[n] = Heaps(sent.value[n], k)
+                        heaps[n].take(*(np.concatenate(c) for c in zip(*tile, strict=True)))
+                    tiles.clear()
 
-            def run(batches: Iterator[pa.RecordBatch], sent=sent, n=n) -> Iterator[pa.RecordBatch]:
-                heaps, ids, xs, held = Heaps(sent.value, k), [], [], 0
                 for batch in batches:
-                    ids.append(batch.column(0).to_numpy())
-                    xs.append(batch.column(1).flatten().to_numpy().reshape(-1, n))
-                    held += batch.num_rows
+                    for n, ids, x in _by_length(batch.column(0), batch.column(1)):
+                        if n in sent.value:
+                            tiles.setdefault(n, []).append((ids, x))
+                            held += len(ids)
                     if held >= TILE:
-                        heaps.take(np.concatenate(ids), np.concatenate(xs))
-                        ids, xs, held = [], [], 0
-                if held:
-                    heaps.take(np.concatenate(ids), np.concatenate(xs))
-                r, c = np.nonzero(heaps.score > -np.inf)
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(sent.value.ids[r]), pa.array(heaps.id[r, c]), pa.array(heaps.score[r, c])], names=FOUND.names)
-
-            parts.append(given.where(F.size("embedding") == n).mapInArrow(run, FOUND))
+                        flush()
+                        held = 0
+                flush()
+                for h in heaps.values():
+                    r, c = np.nonzero(h.score > -np.inf)
+                    if len(r):
+                        yield pa.RecordBatch.from_arrays([pa.array(h.q.ids[r]), pa.array(h.id[r, c]), pa.array(h.score[r, c])], names=FOUND.names)
+
+            parts.append(given.where(F.size("embedding").isin(lengths)).mapInArrow(run, FOUND))
     found = parts[0] if parts else spark.createDataFrame([], FOUND)
     for p in parts[1:]:
         found = found.union(p)

@@ -42,3 +42,9 @@ def test_bounds_hold():
     codes, scale, size = neighbours.coded(unit)
     near = neighbours.product(codes, codes) * np.outer(scale, scale)
     assert (np.abs(near - unit @ unit.T) <= np.outer(scale, scale) * (0.5 * (size[:, None] + size) + 16) + 1e-9).all()
+
+
+def test_vectors_of_more_than_a_thousand_lengths(spark):
+    vectors = spark.range(2200).selectExpr("id as vec_id", "transform(sequence(1, cast(id div 2 as int) + 1), x -> cast(sin(x * id + 1) as float)) as embedding")
+    got = neighbours.nearest(vectors, vectors.where("vec_id >= 4")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(i, 1, i ^ 1) for i in range(4, 2200)]
