@@ -55,7 +55,11 @@ def statistics(text: str | None) -> list[float]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> boosting.Forest | float:
-    """The trees; with labels of one class or none, that class or 1 as the score of all."""
+    """The trees; with labels of one class or none, that class or 1 as the score of all.
+
+    The driver holds NEGATIVES + POSITIVES rows of statistics at most: of rows that repeat a labelled doc_id, the one
+    with the least statistics is fitted.
+    """
     sample, _ = sampled(labels, label, DIVISOR, HELD, NEGATIVES, POSITIVES)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
 
@@ -65,7 +69,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> boosti
 
         return one
 
-    got = arrow_map(rows, make, fields(("doc_id", T.LongType()), ("y", T.IntegerType()), ("x", T.ArrayType(T.DoubleType())))).orderBy("doc_id").toArrow()
+    got = arrow_map(rows, make, fields(("doc_id", T.LongType()), ("y", T.IntegerType()), ("x", T.ArrayType(T.DoubleType()))))
+    got = got.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").toArrow()
     y = got.column("y").to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return float(y[0]) if len(y) else 1.0
@@ -77,7 +82,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
     """A score for each row's whole text.
 
     Null, empty and blank texts have zeros for statistics and are scored as such; repeated rows get equal scores; an
-    empty table gives no rows. Other columns are not read.
+    empty table gives no rows. Other columns are not read. The statistics of a very long text are those of all of it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, label))
 

@@ -64,15 +64,67 @@ def test_no_or_one_class_of_labels(spark, operator):
     assert operator.scored(docs.limit(0), none).count() == 0
 
 
-def test_parts_of_a_text_score_like_the_whole():
+@pytest.mark.parametrize("words", [lambda i: f"w{i % 977}", lambda i: "ab"[i % 2], lambda i: "a", lambda i: "abc"[i % 3]], ids=["many", "two", "one", "three"])
+def test_parts_of_a_text_score_like_the_whole(monkeypatch, words):
     net = convnet.Net.new(3)
-    code = convnet.codes(" ".join(f"w{i % 977}" for i in range(5000)))
-    whole = convnet.logits(net, [code])
-    convnet.CHUNK, before = 700, convnet.CHUNK
-    try:
-        assert np.allclose(convnet.logits(net, [code, code[:3]])[0], whole)
-    finally:
-        convnet.CHUNK = before
+    for n in (699, 700, 701, 702, 703, 1398, 1400, 5000):
+        code = convnet.codes(" ".join(words(i) for i in range(n)))
+        monkeypatch.setattr(convnet, "CHUNK", 1 << 15)
+        whole = convnet.logits(net, [code])
+        for chunk in (700, 101, 3):
+            monkeypatch.setattr(convnet, "CHUNK", chunk)
+            assert np.allclose(convnet.logits(net, [code, code[:2]])[0], whole, atol=1e-6), (n, chunk)
+
+
+def plain_logit(net, code):
+    """The net word by word: no batches, no layout."""
+    x = [net.word[c & (convnet.WORD_BUCKETS - 1)] + net.stem[(c >> 15) & (convnet.STEM_BUCKETS - 1)] for c in code.tolist()] or [np.zeros(convnet.SIZE)]
+    x += [np.zeros(convnet.SIZE)] * (convnet.WIDTHS[-1] - 1)
+    tops = []
+    for filters, w in zip(net.filters, convnet.WIDTHS, strict=True):
+        f = filters.reshape(w, convnet.SIZE, convnet.FILTERS)
+        places = [sum(x[p + i] @ f[i] for i in range(w)) for p in range(max(1, len(code)))]
+        tops.append(np.max(places, axis=0))
+    return np.maximum(np.concatenate(tops) + net.bias, 0) @ net.out + net.out_bias[0]
+
+
+def test_logits_equal_a_plain_forward_pass():
+    net, texts = convnet.Net.new(5), ["", "one", "two words", "the und a b c", "x y z " * 30]
+    net.bias += 0.1
+    code = [convnet.codes(t) for t in texts]
+    assert np.allclose(convnet.logits(net, code), [plain_logit(net, c) for c in code], atol=1e-5)
+
+
+def test_languages_with_few_labelled_rows_lean_on_the_shared_threshold():
+    z = np.array([-3.0, -2, -1, 1, 2, 3, 4, 5, 6, 7])
+    y = np.array([0, 0, 0, 1, 1, 1, 0, 0, 1, 1], float)
+    spoken = np.array([1, 1, 1, 1, 1, 1, 2, 2, 2, 2])
+    cuts = toxicity.thresholds(z, y, np.ones(10), spoken)
+    shared = toxicity._cut(z, y, np.ones(10))
+    assert cuts[0] == cuts[3] == shared
+    for k, n, own in ((1, 6, 0.0), (2, 4, 5.5)):
+        assert cuts[k] == pytest.approx((n * own + toxicity.SHRINK * shared) / (n + toxicity.SHRINK))
+
+
+def test_long_labelled_texts_and_repeated_ids_give_a_bounded_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_WORDS", 128)
+    long = np.arange(1000)
+    assert len(toxicity._spread(long)) == 128 and {0, 999} <= set(toxicity._spread(long).tolist())
+    docs, labels = corpus(200)
+    docs = [(i, t) for i, t in docs for _ in range(3)] + [(3, "other text " * 400)] * 5
+    tables = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for operator in (toxicity, quality):
+        rows = operator.scored(*tables).collect()
+        assert len(rows) == len(docs) and rows[0].score is not None
+    assert 0 < toxicity.accepted(*tables).count() < len(docs)
+
+
+def test_extra_columns_with_clashing_names_pass_through(spark):
+    docs, labels = corpus(300)
+    rows = spark.createDataFrame([(i, t, 7, "s", 0.25, [1]) for i, t in docs], "doc_id long, text string, y int, code string, score double, toxic array<int>")
+    kept = toxicity.accepted(rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert kept.schema == rows.schema and 0 < kept.count() < 300
+    assert {tuple(r)[2:5] for r in kept.collect()} == {(7, "s", 0.25)}
 
 
 def test_flat_trees_equal_walking_them():
