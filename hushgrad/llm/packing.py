@@ -31,8 +31,8 @@ ROUNDS, NEAR, STEP = 8, 0.02, 0.01
 SPARSE = 512
 #: How often leftovers are solved again, and when they are few enough for best fit.
 SOLVES, FEW = 20, 1500
-#: Pieces of one length that one task ranks.
-RANKED = 50_000
+#: Pieces of one length that are ranked together, about.
+RANKED = 1_000
 
 PIECES = fields(("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))
 
@@ -189,7 +189,8 @@ def packed(docs: DataFrame, capacity: int = SEQUENCE, vocabulary: str = VOCABULA
     """One row for each piece with its sequence and its offset there.
 
     Null and empty texts are one id 0 each. Repeated rows are packed like any other; of documents with one doc_id the
-    order within a length is by content. An empty table gives no rows. Other columns are not read.
+    order within a length is by content. An empty table gives no rows. Other columns are not read. A very long text is
+    encoded whole in one task, and its pieces go their own ways.
     """
     cut = saved(pieces(docs, capacity, vocabulary), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -198,8 +199,9 @@ def packed(docs: DataFrame, capacity: int = SEQUENCE, vocabulary: str = VOCABULA
     table = places(configurations(counts, capacity)) if counts.any() else places([])
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
-    salts = F.create_map(*[F.lit(x) for i in np.flatnonzero(counts > RANKED) for x in (int(i), int(-(-counts[i] // RANKED)))]) if (counts > RANKED).any() else None
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce(salts[F.col("length")], F.lit(1)) if salts is not None else F.lit(1))
+    # Groups for each length, in one literal that is folded into an array.
+    groups = F.split(F.lit(",".join(map(str, np.maximum(1, -(-counts // RANKED)).tolist()))), ",").cast("array<int>")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.element_at(groups, (F.col("length") + 1).cast("int")))
     salted = cut.withColumn("salt", salt)
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -13,6 +13,7 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -20,6 +21,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
 
 #: Parts that one worker remembers, and the longest part it remembers.
 CACHE_PARTS, CACHE_CHARS = 600_000, 48
+#: Runs of white space or of other characters from this length on are left to the library itself: the faster one needs
+#: a deep stack for the former and the square of their length for the latter.
+LONG_RUN = 256
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
+#: Stands between words that are encoded together. In the word vocabulary it is one token, a part of its own.
+MARK = "\x01"
 #: The split pattern of the byte-level vocabulary (a fixed value of that format).
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space that follows white space and precedes white space or the end: there the text may not be cut.
@@ -51,11 +58,16 @@ class ByteIds:
         self._cache = _Spaced(self._encode)
 
     def _encode(self, part: str) -> bytes:
+        if len(part) >= LONG_RUN and _LONG_RUN.search(part):
+            return self._by_library(part)
         return array("I", self._parts.encode_ordinary(part)).tobytes()
 
+    def _by_library(self, text: str) -> bytes:
+        return array("I", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
+
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return array("I", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
+            return self._by_library(text)
         if _UNCUT.search(text):
             return self._encode(text)
         first, *rest = text.split(" ")
@@ -91,6 +103,14 @@ class WordCounts(dict):
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
+        (self.mark,) = self.whole.encode(MARK, add_special_tokens=False).ids
+
+    def whole_words(self) -> list[str]:
+        """The words that the vocabulary itself holds whole, as text."""
+        letters, end = _byte_letters(), "</w>"
+        raw = (bytes(letters[c] for c in w[: -len(end)]) for w in self.whole.get_vocab(with_added_tokens=False) if w.endswith(end))
+        words = (b.decode("utf-8", "ignore") for b in raw)
+        return sorted({w for w in words if w and not w.isspace() and MARK not in w and words_of(w) == [w]})
 
     def __missing__(self, word: str) -> int:
         n = len(self.whole.encode(word, add_special_tokens=False).ids)
@@ -101,12 +121,15 @@ class WordCounts(dict):
         return n
 
     def learn(self, words: set[str]) -> None:
-        """Encodes words not yet known in one call."""
-        new = [w for w in words if len(w) <= CACHE_CHARS]
+        """Encodes words not yet known in one call: joined by marks, whose places in the ids tell the words apart."""
+        new = [w for w in words if len(w) <= CACHE_CHARS and MARK not in w]
         if len(self) + len(new) > CACHE_PARTS:
             self.clear()
-        for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = len(e.ids)
+        if new:
+            (e,) = self.whole.encode_batch_fast([f" {MARK} ".join(new)], add_special_tokens=False)
+            ids = np.array(e.ids)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            self.update(zip(new, (np.diff(ends, prepend=-1) - 1).tolist(), strict=True))
 
 
 def words_of(text: str) -> list[str]:

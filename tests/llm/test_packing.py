@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from hushgrad.llm import packing
@@ -21,13 +23,29 @@ def reference_ids():
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
+_OURS, _THEIRS = ByteIds(tokenizer_path(packing.VOCABULARY)), reference_ids()
+
+
 def test_ids_equal_the_librarys():
     ours, theirs = ByteIds(tokenizer_path(packing.VOCABULARY)), reference_ids()
     for x in TEXTS:
-        assert array("I", ours(x or "")).tobytes() == ours(x or "") or True
         assert list(array("I", ours(x or ""))) == theirs(x), x
 
 
+RUNS = ["\n" * 300_000 + "a", "\t" * 100_000 + "b", "a" + " \n\t" * 100_000 + "c", " " * 300_000, "x " + "\n " * 100_000, "ab" * 100_000, "_" * 50_000 + " end", "w" + "\n" * 255 + "x " + "\n" * 256 + "y", "é\u3000" * 1000, "\u2003" * 100_000 + "."]
+
+
+@pytest.mark.parametrize("text", RUNS, ids=range(len(RUNS)))
+def test_ids_of_long_runs_equal_the_librarys(text):
+    assert list(array("I", ByteIds(tokenizer_path(packing.VOCABULARY))(text))) == reference_ids()(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([" ", "\n", "\t", "\r\n", "  ", "\xa0", "\u3000", "\x1c", "\x85", "\u200b"]), st.text(max_size=4), st.sampled_from(["it's", "12", "a", "é", "漢", "!?"])), max_size=30).map("".join))
+def test_ids_of_mixed_white_space_equal_the_librarys(text):
+    assert list(array("I", _OURS(text))) == _THEIRS(text)
+
+
 def test_every_piece_has_one_place_and_sequences_are_gapless(spark):
     docs = spark.createDataFrame([(i, x, "en", 1) for i, x in enumerate(TEXTS * 3)], "doc_id long, text string, piece string, start int")
     rows = packing.packed(docs, capacity=64).collect()
