@@ -1,62 +1,43 @@
-"""Token counts of whole texts by two tiers of known word lengths, with no shuffle of words.
+"""Token counts of whole texts by two tiers of known word lengths: one reading of the texts, and no shuffle at all.
 
-The vocabulary drops white space, so a text's count is the sum over its words. First, each task counts words of its
-own rows in bounded memory and reports its most frequent ones; their sums, at most a fixed number for each task,
-give the frequent words of the whole table. Their token counts are broadcast as one compact table. In the second
-pass each word is looked up there and then in the worker's own cache; what neither knows is encoded in batches.
+The vocabulary drops white space, so a text's count is the sum over its words. The words that the vocabulary itself
+holds whole are the frequent ones of what it was made from; their token counts are broadcast as one compact table,
+whose size the vocabulary bounds. Each word is looked up there and then in the worker's own bounded cache; what
+neither knows is encoded in one call for a batch of rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import arrow_map, fields, shipped, small_batches, tokenizer_path
+from ._shared import arrow_map, fields, shipped, tokenizer_path
 from .tokens import CACHE_CHARS, word_counts, words_of
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-#: Words that one task holds at once, that it reports, and that the broadcast table has: the table stays under 1 MB.
-HELD, REPORTED, FREQUENT = 100_000, 512, 16_384
-
 COUNTS = fields(("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType()))
 
 
-def heavy_words(docs: DataFrame, most: int = FREQUENT) -> list[str]:
-    """The most frequent words by sums of each task's own most frequent ones. They only decide what is looked up first."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(words_of(text))
-            if len(seen) > HELD:
-                seen = Counter(dict(seen.most_common(HELD // 4)))
-        top = [(w, n) for w, n in seen.most_common(REPORTED) if len(w) <= CACHE_CHARS]
-        if top:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top]), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
-
-    found = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in found.orderBy(F.desc("n"), "word").limit(most).collect()]
+def frequent_words(vocabulary: str = VOCABULARY) -> dict[str, int]:
+    """Whole words of the vocabulary and their token counts; at most as many as the vocabulary has entries."""
+    known = word_counts(tokenizer_path(vocabulary))
+    words = [w for w in known.whole_words() if len(w) <= CACHE_CHARS]
+    known.learn(set(words))
+    return {w: known[w] for w in words}
 
 
 def counted(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """Bytes and tokens of each row's whole text.
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows each give a row, an empty table none; other columns
-    are not read. Special strings inside texts count as the library counts them.
+    are not read. Special strings inside texts count as the library counts them. A very long text is handled as a
+    whole in one task.
     """
     path = tokenizer_path(vocabulary)
     shipped(docs.sparkSession)
-    known = word_counts(path)
-    sent = docs.sparkSession.sparkContext.broadcast({w: known[w] for w in heavy_words(docs)})
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_words(vocabulary))
 
     def make():
         own, frequent = word_counts(path), sent.value
