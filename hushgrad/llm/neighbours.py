@@ -1,6 +1,7 @@
 """Nearest vectors by cosine: a block matrix join over int8 tiles, exact in the end.
 
-Queries come in blocks of bounded size, each broadcast as int8 codes with scales; candidates pass in tiles. A tile's
+Queries come in blocks of bounded size, one after the other, each broadcast as int8 codes with scales; candidates pass
+in tiles. A tile's
 int8 product gives every cosine up to a bound that follows from the codes' rounding. Pairs whose upper bound reaches
 the k-th best lower bound so far survive, are computed again in double precision, and go into the task's heaps (the k
 best of each query); those are merged by query.
@@ -9,17 +10,19 @@ best of each query); those are merged by query.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import fields, small_batches
+from ._shared import fields, saved, small_batches
 
-#: Queries that are broadcast at once (with 64 components about 10 MB), and candidates in one tile.
-BLOCK, TILE = 16_384, 2_048
+#: Queries that are broadcast at once, their components at most, about (32 MB), and candidates in one tile.
+BLOCK, VALUES, TILE = 65_536, 1 << 22, 2_048
 #: Queries whose products with a tile are held at once.
 ROWS = 1_024
 
@@ -102,61 +105,87 @@ def _by_length(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarr
         yield int(n), ids.take(at).to_numpy(), vectors.take(at).flatten().to_numpy().reshape(-1, n)
 
 
+def _blocks(asked: DataFrame) -> Iterator[DataFrame]:
+    """The queries in blocks of bounded size; lengths of few queries share one, so there are as many scans as blocks."""
+    lengths, held, values = [], 0, 0
+
+    def pieces() -> Iterator[DataFrame]:
+        n = max(-(-held // BLOCK), -(-values // VALUES))
+        for i in range(n):
+            yield asked.where(F.size("embedding").isin(lengths) & (F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i))
+
+    for r in asked.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy("n").collect():
+        if lengths and (held + r.rows > BLOCK or values + r.n * r.rows > VALUES):
+            yield from pieces()
+            lengths, held, values = [], 0, 0
+        lengths, held, values = [*lengths, r.n], held + r.rows, values + r.n * r.rows
+    if lengths:
+        yield from pieces()
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank from 1, vec_id and the exact cosine of each query's k nearest vectors but itself.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of another
-    length than the query's. Fewer candidates than k give fewer rows. A row's own vec_id is left out wherever it
-    repeats; other repeated vectors are candidates each. An empty table gives no rows. Other columns are not read.
+    length than the query's. Fewer candidates than k give fewer rows. A vec_id is one query: of its vectors, the least
+    one in Spark's order of arrays. A row's own vec_id is left out wherever it repeats; other repeated vec_ids are
+    candidates as often as they have rows, and may take several ranks. An empty table gives no rows. Other columns are
+    not read.
+
+    Query blocks pass in waves: one block is held by the driver and the workers at a time, and each wave's rows are
+    written to the shared folder, so that no memory grows with the number of queries.
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    asked, given = usable(queries), usable(vectors)
-    # Lengths of few queries share a block, so that there are as many scans as blocks, however many lengths there are.
-    blocks, lengths, held = [], [], 0
-    for r in asked.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy("n").collect():
-        if lengths and held + r.rows > BLOCK:
-            blocks.append((lengths, -(-held // BLOCK)))
-            lengths, held = [], 0
-        lengths, held = [*lengths, r.n], held + r.rows
-    if lengths:
-        blocks.append((lengths, -(-held // BLOCK)))
-    parts = []
-    for lengths, pieces in blocks:
-        alike = asked.where(F.size("embedding").isin(lengths))
-        for i in range(pieces):
-            block = alike.where(F.pmod(F.xxhash64("vec_id"), F.lit(pieces)) == i).distinct().orderBy("vec_id").toArrow()
-            if block.num_rows == 0:
-                continue
-            sent = spark.sparkContext.broadcast({n: Queries(ids, x) for n, ids, x in _by_length(block.column("vec_id").combine_chunks(), block.column("embedding").combine_chunks())})
-
-            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                heaps, tiles, held = {}, {}, 0
-
-                def flush() -> None:
-                    for n, tile in tiles.items():
-                        if n not in heaps:
-                            heaps[n] = Heaps(sent.value[n], k)
-                        heaps[n].take(*(np.concatenate(c) for c in zip(*tile, strict=True)))
-                    tiles.clear()
-
-                for batch in batches:
-                    for n, ids, x in _by_length(batch.column(0), batch.column(1)):
-                        if n in sent.value:
-                            tiles.setdefault(n, []).append((ids, x))
-                            held += len(ids)
-                    if held >= TILE:
-                        flush()
-                        held = 0
+    given = usable(vectors)
+    asked = saved(usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    waves, last = [], None
+    for block in _blocks(asked):
+        rows = block.orderBy("vec_id").toArrow()
+        if rows.num_rows == 0:
+            continue
+        if last is not None:
+            waves.append(saved(last[0], "nearest"))
+            last[1].destroy()
+        last = _wave(given, rows, k)
+    if last is None:
+        return spark.createDataFrame([], T.StructType([FOUND["query_id"], T.StructField("rank", T.IntegerType()), FOUND["vec_id"], FOUND["score"]]))
+    if not waves:
+        return last[0]
+    waves.append(saved(last[0], "nearest"))
+    last[1].destroy()
+    return reduce(DataFrame.union, waves)
+
+
+def _wave(given: DataFrame, block: pa.Table, k: int) -> tuple[DataFrame, Broadcast]:
+    """One block of queries against all candidates, and the broadcast that its tasks read."""
+    by_length = {n: Queries(ids, x) for n, ids, x in _by_length(block.column("vec_id").combine_chunks(), block.column("embedding").combine_chunks())}
+    sent = given.sparkSession.sparkContext.broadcast(by_length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heaps, tiles, held = {}, {}, 0
+
+        def flush() -> None:
+            for n, tile in tiles.items():
+                if n not in heaps:
+                    heaps[n] = Heaps(sent.value[n], k)
+                heaps[n].take(*(np.concatenate(c) for c in zip(*tile, strict=True)))
+            tiles.clear()
+
+        for batch in batches:
+            for n, ids, x in _by_length(batch.column(0), batch.column(1)):
+                if n in sent.value:
+                    tiles.setdefault(n, []).append((ids, x))
+                    held += len(ids)
+            if held >= TILE:
                 flush()
-                for h in heaps.values():
-                    r, c = np.nonzero(h.score > -np.inf)
-                    if len(r):
-                        yield pa.RecordBatch.from_arrays([pa.array(h.q.ids[r]), pa.array(h.id[r, c]), pa.array(h.score[r, c])], names=FOUND.names)
-
-            parts.append(given.where(F.size("embedding").isin(lengths)).mapInArrow(run, FOUND))
-    found = parts[0] if parts else spark.createDataFrame([], FOUND)
-    for p in parts[1:]:
-        found = found.union(p)
+                held = 0
+        flush()
+        for h in heaps.values():
+            r, c = np.nonzero(h.score > -np.inf)
+            if len(r):
+                yield pa.RecordBatch.from_arrays([pa.array(h.q.ids[r]), pa.array(h.id[r, c]), pa.array(h.score[r, c])], names=FOUND.names)
+
+    found = given.where(F.size("embedding").isin(list(by_length))).mapInArrow(run, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), sent

@@ -48,3 +48,20 @@ def test_vectors_of_more_than_a_thousand_lengths(spark):
     vectors = spark.range(2200).selectExpr("id as vec_id", "transform(sequence(1, cast(id div 2 as int) + 1), x -> cast(sin(x * id + 1) as float)) as embedding")
     got = neighbours.nearest(vectors, vectors.where("vec_id >= 4")).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(i, 1, i ^ 1) for i in range(4, 2200)]
+
+
+def test_clashing_ids_and_many_waves(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "VALUES", 8)
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0, 5.0]), (1, [1.0, 0.1]), (1, [0.1, 1.0]), (2, [0.2, 1.0]), (4, [1.0, 1.0]), (6, [1.0, 0.9]), (8, [-1.0, 0.5]), (10, [3.0, 1.0])]
+    vectors = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, query_id string")
+    got = neighbours.nearest(vectors, vectors.where("vec_id % 2 = 0"), 3).collect()
+    least = {}
+    for i, v in rows:
+        if i % 2 == 0:
+            least[i] = min(least.get(i, v), v)
+    want = set()
+    for q, a in least.items():
+        near = sorted((-np.dot(a, v) / np.linalg.norm(a) / np.linalg.norm(v), i) for i, v in rows if i != q and len(v) == len(a))
+        want |= {(q, n, i, round(-s, 9)) for n, (s, i) in enumerate(near[:3], 1)}
+    assert {(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got} == want and len(got) == len(want)
+    assert [r.vec_id for r in sorted((r for r in got if r.query_id == 0), key=lambda r: r["rank"])] == [1, 2, 4]
