@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -49,8 +50,9 @@ def fixture(seed=3):
 
 def test_query_equals_brute_force(spark, monkeypatch):
     docs, items = fixture()
-    for size in (8_000_000, 40):
+    for size, part in ((8_000_000, 20_000), (400, 20_000), (400, 12), (8_000_000, 11)):
         monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+        monkeypatch.setattr(decontam, "PART_WORDS", part)
         got = decontam.measured(spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, n_words int"), spark.createDataFrame(items, "item_id long, text string")).collect()
         assert sorted(tuple(r) for r in got) == sorted((d, *brute(x, items, 10)) for d, x in docs)
 
@@ -62,13 +64,37 @@ def test_empty_tables(spark):
     assert decontam.measured(docs.limit(0), none).count() == 0
 
 
-def test_runs_are_cut_and_covered_texts_go(spark):
+@pytest.mark.parametrize("size", [8_000_000, 20])
+def test_runs_are_cut_and_covered_texts_go(spark, monkeypatch, size):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
     item = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame(
         [(1, f"keep this, {item.upper()}! and also é this text of some more words, so that it is long enough", "en", 5), (2, item, "en", 5), (3, "clean", "en", 5), (4, None, "en", None), (5, "", "en", 0)],
         "doc_id long, text string, lang string, n_chars long",
     )
-    out = {r.doc_id: r for r in decontam.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    out = {r.doc_id: r for r in decontam.decontaminated(docs, spark.createDataFrame([(1, item), (2, "other words that no text holds at all but which make another block"), (3, None)], "item_id long, text string")).collect()}
     assert set(out) == {1, 3, 4, 5}
     assert out[1].text == "keep this, ! and also é this text of some more words, so that it is long enough" and out[1].n_chars == len(out[1].text)
     assert out[3] == (3, "clean", "en", 5) and out[4].text is None and out[5].text == ""
+
+
+def test_an_item_of_any_length_is_one_item(spark, monkeypatch):
+    rng = random.Random(8)
+    words_ = [f"w{i}" for i in range(3000)]
+    rng.shuffle(words_)
+    monkeypatch.setattr(decontam, "PART_WORDS", 100)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 4000)
+    docs = [(i, "x " + " ".join(words_[b : b + n]) + " y") for i, (b, n) in enumerate([(0, 3000), (85, 30), (95, 10), (95, 9), (2990, 10)])]
+    got = decontam.measured(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("big", " ".join(words_))], "item_id string, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got) == [(0, 3002, 3000, 1), (1, 32, 30, 1), (2, 12, 10, 1), (3, 11, 0, 0), (4, 12, 10, 1)]
+
+
+def test_clashing_columns_pass_through(spark, monkeypatch):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"{item} a b c d e f g h i j k l", "r", 3, "s"), (2, "clean", "r", 4, "s")], "doc_id long, text string, row string, spans int, items string")
+    items = spark.createDataFrame([(1, item), (2, "p q r s t u v w x y z")], "item_id long, text string")
+    for size in (1_000_000, 20):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+        out = decontam.decontaminated(docs, items)
+        assert out.schema == docs.schema
+        assert sorted(tuple(r) for r in out.collect()) == [(1, " a b c d e f g h i j k l", "r", 3, "s"), (2, "clean", "r", 4, "s")]
