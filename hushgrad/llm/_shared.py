@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -73,15 +74,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/hushgrad-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._hushgrad_path = path
+    return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the table of a DataFrame that saved() returned, once nothing reads it any more."""
-    for spark, path in list(_written):
-        if any(path.split(":", 1)[-1] in f for f in df.inputFiles()):
-            _delete(spark, path)
-            _written.remove((spark, path))
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the tables of DataFrames that saved() returned, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_hushgrad_path", None)
+        for entry in [e for e in _written if e[1] == path]:
+            _delete(*entry)
+            _written.remove(entry)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -96,6 +100,8 @@ def _delete_all() -> None:
         if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
             continue
         _delete(spark, path)
+    for folder in _local_default:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: T.StructType) -> DataFrame:

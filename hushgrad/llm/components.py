@@ -9,27 +9,30 @@ from ._shared import dropped, saved
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of the links (a, b): component is the smallest node reachable.
+    """(node, component), written, for every node of the links (a, b): component is the smallest node reachable.
 
     Alternates large-star and small-star steps: every node hands its neighbours the smallest one it knows, until no
-    link changes. Rounds grow with the logarithm of the longest path. Each round is written to the shared folder, and
-    the table before it deleted. Sums of a link table tell whether a round has changed anything.
+    link changes. Rounds grow with the logarithm of the longest path. Each step is written to the shared folder, and
+    the tables before it deleted; so a node with very many links is split among tasks by Spark's adaptive skew joins.
+    Sums of a link table tell whether a round has changed anything.
     """
     now = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
-    while True:
+    while not now.isEmpty():
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        smallest = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "smallest")
         large = both.join(smallest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = saved(large.where("a <> b").distinct(), "large")
+        low = saved(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         new = saved(small.where("a <> b").distinct(), "links")
         state = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        dropped(now)
+        dropped(now, smallest, large, low)
         now = new
         if state == seen:
             break
         seen = state
     roots = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = saved(roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+    dropped(now)
+    return out

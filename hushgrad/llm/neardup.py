@@ -1,14 +1,19 @@
 """Near-duplicates: SetSketch bands propose pairs, likelihood thins them out, full shingle sets confirm them.
 
-Documents with equal sets are one class, and only its first document goes on. Bands with several documents first
-propose each document with one member of its band, the one that shares most bands with others. So large groups of
-copies come together by stars, in as many pairs as there are documents. Of bands that still hold documents not
-known to be connected, small ones propose their pairs; the documents of large ones are compared by the rarest shingles
-that they share with others, which loses no link and forms few pairs of documents that merely hold one long passage.
+Rows with equal sets are one class, and a class goes on as one node with one representative row. Bands with several
+nodes first propose each node with one member of its band, the one that shares most bands with others. So large groups
+of copies come together by stars, in as many pairs as there are nodes. Of bands that still hold nodes not known to be
+connected, small ones propose their pairs; the nodes of large ones are compared by the rarest shingles that they share
+with others, which loses no link. Nodes that merely hold one long passage are told by the sizes alone: of two similar
+sets the smaller one must share nearly all of its shingles, and without such a node a shingle forms no pairs.
+
+Whatever is joined by a key that many rows may have (a band, a centre, a shingle) lies on both sides in a written table,
+so that Spark splits such keys when it runs (adaptive skew joins); hot shingles are salted besides.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import OrderedDict
 
 import numpy as np
@@ -23,26 +28,33 @@ from .components import components
 
 #: Links need 100 * intersection >= PERCENT * union. Estimates under SURE are no links (they stray by 0.04 at 0.75).
 PERCENT, SURE = 75, 0.55
-#: Documents of a band from which on its pairs are found by rare shingles instead of one by one; no pair is lost.
+#: Nodes of a band from which on its pairs are found by rare shingles instead of one by one; no pair is lost.
 LARGE = 48
+#: Nodes with one shingle that one task compares with others, about.
+SPLIT = 1000
 #: Bits of the map of documents whose texts a join needs (2 MB).
 BITS = 1 << 24
 
-FEATURES = fields(("doc_id", T.LongType()), ("n_shingles", T.LongType()), ("set_key", T.BinaryType()), ("registers", T.BinaryType()))
+FEATURES = fields(("doc_id", T.LongType()), ("n_shingles", T.LongType()), ("set_key", T.BinaryType()), ("text_key", T.BinaryType()), ("registers", T.BinaryType()))
+PAIR = fields(("a", T.LongType()), ("b", T.LongType()))
+
+
+def _digest(raw: bytes) -> bytes:
+    return hashlib.md5(raw, usedforsecurity=False).digest()
 
 
 def features(docs: DataFrame) -> DataFrame:
-    def make():
-        import hashlib
+    """For each row the size, digest and registers of its set, and the digest of its text; nulls for an empty set."""
 
+    def make():
         def one(batch: pa.RecordBatch) -> dict:
-            n, key, regs = [], [], []
+            out: dict[str, list] = {"n_shingles": [], "set_key": [], "text_key": [], "registers": []}
             for text in batch.column(1).to_pylist():
                 s = sketches.shingles(text)
-                n.append(len(s))
-                key.append(hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None)
-                regs.append(sketches.registers(s) if len(s) else None)
-            return {"doc_id": batch.column(0), "n_shingles": n, "set_key": key, "registers": regs}
+                row = (len(s), *((_digest(s.tobytes()), _digest(text.encode()), sketches.registers(s)) if len(s) else (None, None, None)))
+                for c, x in zip(out.values(), row, strict=True):
+                    c.append(x)
+            return {"doc_id": batch.column(0)} | out
 
         return one
 
@@ -51,7 +63,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose registers make a similarity near the limit possible."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
 
     def make():
         def one(batch: pa.RecordBatch) -> dict:
@@ -64,18 +76,18 @@ def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return one
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(_near_sizes("n_a", "n_b"))
-    return arrow_map(joined, make, fields(("a", T.LongType()), ("b", T.LongType())))
+    return arrow_map(joined, make, PAIR)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose whole shingle sets are similar enough."""
+    """Pairs whose whole shingle sets are similar enough; texts has one row (node, text) for each node."""
 
     def make():
         recent: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def of(doc: int, text: str) -> np.ndarray:
-            if (s := recent.get(doc)) is None:
-                s = recent[doc] = sketches.shingles(text)
+        def of(node: int, text: str) -> np.ndarray:
+            if (s := recent.get(node)) is None:
+                s = recent[node] = sketches.shingles(text)
                 if len(recent) > 64:
                     recent.popitem(last=False)
             return s
@@ -91,64 +103,82 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         return one
 
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b"), make, fields(("a", T.LongType()), ("b", T.LongType())))
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b"), make, PAIR)
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row, as near_duplicates() says."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: (doc_id, n_shingles, set_key) of every row, and (set_key, component_id, stays) of every class
+    with its representative row (unnamed, key, text_key)."""
     texts = docs.select("doc_id", "text")
     made = saved(features(texts), "features")
-    classes = saved(made.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first")), "classes")
-    firsts = made.join(classes, (made.set_key == classes.set_key) & (made.doc_id == classes["first"]), "left_semi").dropDuplicates(["doc_id"])
-    sets = saved(firsts.select("doc_id", "n_shingles", "registers"), "sets")
-
+    # The row that stands for a class: rows with an id first, then the smallest id, then any one text.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "n_shingles", "registers")).alias("r")
+    classes = made.where("n_shingles > 0").groupBy("set_key").agg(first).select(F.monotonically_increasing_id().alias("node"), "set_key", "r.*")
+    classes = saved(classes, "classes")  # numbered once and for all
+    slim = saved(made.select("doc_id", "n_shingles", "set_key"), "rows")
+    dropped(made)
+    links = _links(texts, classes)
+    group = components(links)
+    owned = saved(classes.select("node", "set_key", "unnamed", "doc_id", "text_key").join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "owned")
+    least = saved(owned.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "text_key", "node")).alias("l")).select("component", F.col("l.doc_id").alias("component_id"), F.col("l.node").alias("stayer")), "least")
+    named = owned.join(least, "component").select("set_key", "component_id", (F.col("node") == F.col("stayer")).alias("stays"), "unnamed", F.coalesce("doc_id", F.lit(0)).alias("key"), "text_key")
+    named = saved(named, "named")
+    dropped(links, group, owned, least, classes)
+    return slim, named
+
+
+def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes, whose components are those of all links."""
+    sets = classes.select("node", "n_shingles", "registers")
     key = lambda i: F.xxhash64(i, F.substring("registers", i * sketches.ROWS + 1, sketches.ROWS))
-    banded = sets.select("doc_id", "n_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.lit(sketches.BANDS - 1)), key)).alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    banded = sets.select("node", "n_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.lit(sketches.BANDS - 1)), key)).alias("band"))
+    shared = saved(banded.groupBy("band").agg(F.count("*").alias("held")).where("held > 1"), "shared")
     held = saved(banded.join(shared, "band"), "held")
     # What a group's copies derive from lies in the largest bands of all: it makes the best centre.
-    weight = held.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    members = saved(held.join(weight, "doc_id").select("band", "doc_id", "n_shingles", "weight", F.col("n").alias("held")), "members")
-    dropped(held)
-
-    def centres(live: DataFrame) -> DataFrame:
-        at = live.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("o"), "doc_id", "n_shingles")).alias("m")).select("band", F.col("m.doc_id").alias("c"), F.col("m.n_shingles").alias("n"))
-        near = live.join(at, "band").where((F.col("doc_id") != F.col("c")) & _near_sizes("n", "n_shingles"))
-        return near.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
+    weight = held.groupBy("node").agg(F.sum("held").alias("weight"))
+    members = saved(held.join(weight, "node"), "members")
+    dropped(shared, held)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         likely = saved(_likely(pairs, sets), "likely")
-        out = saved(_confirmed(likely, _only(texts, _nodes(likely))), "confirmed")
-        dropped(likely)
+        some = _texts(texts, classes, _nodes(likely))
+        out = saved(_confirmed(likely, some), "confirmed")
+        dropped(likely, some)
         return out
 
-    star = saved(centres(members), "pairs")
+    at = members.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("o"), "node", "n_shingles")).alias("m"))
+    at = saved(at.select("band", F.col("m.node").alias("c"), F.col("m.n_shingles").alias("n")), "centres")
+    near = members.join(at, "band").where((F.col("node") != F.col("c")) & _near_sizes("n", "n_shingles"))
+    star = saved(near.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct(), "pairs")
     links = confirmed(star)
     known = _nearby(links)
-    live = members.join(known, members.doc_id == known.node, "left").select("band", "doc_id", "n_shingles", "held", F.coalesce("component", "doc_id").alias("component"))
-    mixed = live.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    mixed = saved(live.join(mixed, "band", "left_semi"), "mixed-bands")
-    x, y = mixed.where(F.col("held") <= LARGE).alias("x"), mixed.where(F.col("held") <= LARGE).alias("y")
-    small = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _near_sizes("x.n_shingles", "y.n_shingles"))
-    small = small.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    rest = saved(mixed.where(F.col("held") > LARGE).select("doc_id", "component").distinct(), "rest")
-    pairs = saved(small.union(_sharing(texts, rest)).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(confirmed(pairs))
-    group = saved(components(links), "groups")
-    named = classes.join(group, classes["first"] == group.node, "left").select("set_key", F.coalesce("component", "first").alias("component"))
-    out = made.join(named, "set_key", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    for x in (members, star, mixed, rest, pairs):
-        dropped(x)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    live = saved(members.join(known, "node", "left").select("band", "node", "n_shingles", "held", F.coalesce("component", "node").alias("component")), "live")
+    mixed = saved(live.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"), "mixed")
+    open_ = saved(live.join(mixed, "band", "left_semi"), "open")
+    dropped(members, at, known, live, mixed)
+    if open_.isEmpty():
+        return links
+    x, y = open_.where(F.col("held") <= LARGE).alias("x"), open_.where(F.col("held") <= LARGE).alias("y")
+    small = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _near_sizes("x.n_shingles", "y.n_shingles"))
+    small = small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    rest = saved(open_.where(F.col("held") > LARGE).select("node", "component").distinct(), "rest")
+    sharing = rest.select(F.col("node").alias("a"), F.col("node").alias("b")) if rest.isEmpty() else _sharing(_texts(texts, classes, rest.select("node")), rest)
+    pairs = saved(small.union(sharing).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    more = confirmed(pairs)
+    out = saved(links.union(more), "links")
+    dropped(open_, rest, sharing, star, pairs, links, more)
+    return out
 
 
 def _nearby(links: DataFrame) -> DataFrame:
     """(node, component) with the smallest node within two links: part of a component, which is all that pruning needs."""
     both = saved(links.union(links.select("b", "a")).distinct(), "both")
-    one = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+    one = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "one")
     reach = both.join(one, both.b == one.node).groupBy("a").agg(F.min("component").alias("component"))
-    return saved(reach.withColumnRenamed("a", "node"), "nearby")
+    out = saved(reach.withColumnRenamed("a", "node"), "nearby")
+    dropped(both, one)
+    return out
 
 
 def _near_sizes(a: str, b: str):
@@ -156,10 +186,19 @@ def _near_sizes(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _only(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The texts of some documents. A bitmap of fixed size, whatever their number, keeps most others out of the join."""
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _texts(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text), written: the representatives' texts of some nodes, one row each, however often their rows repeat.
+
+    A bitmap of fixed size, whatever the number of nodes, keeps most other rows out of the join.
+    """
     spark = texts.sparkSession
-    words = nodes.select(F.pmod(F.col("node"), F.lit(BITS)).alias("h")).groupBy(F.floor(F.col("h") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("bits")).toArrow()
+    chosen = classes.join(nodes, "node", "left_semi").select("node", "unnamed", F.coalesce("doc_id", F.lit(0)).alias("key"), "text_key")
+    chosen = saved(chosen, "chosen")
+    words = chosen.select(F.pmod("key", F.lit(BITS)).alias("h")).groupBy(F.floor(F.col("h") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(BITS // 32, np.uint32)
     bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     sent = spark.sparkContext.broadcast(bitmap)
@@ -167,70 +206,100 @@ def _only(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         bits = sent.value
         for batch in batches:
-            h = np.mod(batch.column(0).to_numpy(zero_copy_only=False), BITS).astype(np.int64)
+            h = np.mod(batch.column("key").to_numpy(zero_copy_only=False), BITS).astype(np.int64)
             yield batch.filter(pa.array((bits[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1))
 
     small_batches(spark)
-    some = texts.where("doc_id is not null").mapInArrow(run, texts.schema)
-    return some.join(nodes, some.doc_id == nodes.node, "left_semi")
+    keyed = texts.where("text is not null").select(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("key"), "text")
+    some = keyed.mapInArrow(run, keyed.schema).withColumn("text_key", _text_key())
+    keys = ["unnamed", "key", "text_key"]
+    out = saved(some.dropDuplicates(keys).join(chosen, keys).select("node", "text"), "texts")
+    dropped(chosen)
+    sent.destroy()
+    return out
 
 
-def _nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _text_key():
+    return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
 def _sharing(texts: DataFrame, rest: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that can be similar, by prefixes of their sets.
+    """Pairs (a, b), written, of different components that can be similar, by prefixes of their sets.
 
     Only shingles that two components share can be in the overlap of such a pair. Of n shingles m are of this kind; an
     overlap of at least PERCENT of n leaves m - ceil(PERCENT n / 100) of them out at most, so in one order for all,
-    rare ones first, two similar sets share one of their first shingles. No pair is lost; pairs whose m is too small
-    for an overlap, such as strayed copies of one text, are never formed.
+    rare ones first, two similar sets share one of their first shingles. Of two similar sets the smaller one has at
+    least 2 PERCENT n / (100 + PERCENT) shingles in the overlap; it is called able. A shingle without an able node is
+    as good as unshared, and pairs are formed only between able nodes and others that are no smaller. No pair is lost;
+    pairs whose m is too small for an overlap, such as strayed copies of one text, are never formed.
     """
-    chosen = _only(texts, rest.select(F.col("doc_id").alias("node"))).join(rest, "doc_id").select("doc_id", "component", "text")
+    rows = texts.join(rest, "node").select("node", "component", "text")
 
     def make():
         def one(batch: pa.RecordBatch) -> dict:
             sets = [sketches.shingles(text).view(np.int64) for text in batch.column(2).to_pylist()]
             n = np.array([len(s) for s in sets])
             at = pa.array(np.repeat(np.arange(len(sets)), n))
-            return {"shingle": np.concatenate(sets), "doc_id": batch.column(0).take(at), "component": batch.column(1).take(at), "n": np.repeat(n, n).astype(np.int32)}
+            return {"shingle": np.concatenate(sets), "node": batch.column(0).take(at), "component": batch.column(1).take(at), "n": np.repeat(n, n).astype(np.int32)}
 
         return one
 
-    schema = fields(("shingle", T.LongType()), ("doc_id", T.LongType()), ("component", T.LongType()), ("n", T.IntegerType()))
-    rows = arrow_map(saved(chosen, "rest-texts"), make, schema)
-    mixed = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-    both = saved(rows.join(mixed, "shingle", "left_semi"), "mixed")
-    enough = both.groupBy("doc_id").agg(F.count("*").alias("m"), F.first("n").alias("of")).where(F.col("m") * 100 >= PERCENT * F.col("of")).select("doc_id", "m")
-    able = saved(both.join(enough, "doc_id"), "able")
-    frequency = able.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle", "df")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle"))
+    schema = fields(("shingle", T.LongType()), ("node", T.LongType()), ("component", T.LongType()), ("n", T.IntegerType()))
+    rows = arrow_map(rows, make, schema)
+    mixed = saved(rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle"), "mixed")
+    both = saved(rows.join(mixed, "shingle", "left_semi"), "both")
+    enough = both.groupBy("node").agg(F.count("*").alias("m"), F.first("n").alias("of")).where(F.col("m") * 100 >= PERCENT * F.col("of"))
+    kept = saved(both.join(enough.select("node", "m", _able("m", "of").alias("able")), "node"), "kept")
+    frequency = kept.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("able").alias("able")).where("low < high and able")
+    frequency = saved(frequency.select("shingle", "df"), "frequency")
+    shared = kept.drop("able").join(frequency, "shingle")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
     # Shingles that have become unshared count as left out: they take the first places, which need no rows.
-    shared = able.join(frequency, "shingle")
-    lost = F.col("m") - F.count("*").over(Window.partitionBy("doc_id"))
-    first = shared.withColumn("place", place + lost).where(F.col("place") <= F.col("m") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("shingle", "doc_id", "component", "n", (F.col("m") - F.col("place") + 1).alias("left"))
-    first = saved(first, "prefixes")
-    x, y = first.alias("x"), first.alias("y")
+    lost = F.col("m") - F.count("*").over(Window.partitionBy("node"))
+    first = shared.withColumn("place", place + lost).where(F.col("place") <= F.col("m") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+    first = saved(first.select("shingle", "node", "component", "n", "df", (F.col("m") - F.col("place") + 1).alias("left")), "prefixes")
+    parts = F.floor(F.col("df") / SPLIT).cast("int") + 1
+    x = first.where(_able("left", "n")).withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).alias("x")
+    y = first.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int")).alias("y")
     # From two sets' first shared shingle on, as much must be left of both as an overlap needs.
     room = F.least("x.left", "y.left") * (100 + PERCENT) >= PERCENT * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _near_sizes("x.n", "y.n") & room)
-    dropped(both)
-    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    fits = (F.col("x.n") <= F.col("y.n")) & (F.col("x.component") != F.col("y.component")) & _near_sizes("x.n", "y.n") & room
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.salt") == F.col("y.salt")) & fits)
+    out = saved(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "sharing")
+    dropped(texts, mixed, both, kept, frequency, first)
+    return out
+
+
+def _able(shared: str, n: str):
+    """Whether a set with so many shared shingles may be the smaller one of a similar pair."""
+    return F.col(shared) * (100 + PERCENT) >= 2 * PERCENT * F.col(n)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each document: the size of its set, the smallest doc_id it is linked with over any path, whether it stays.
+    """One row for each row: the size of its set, the smallest doc_id it is linked with over any path, whether it stays.
 
-    Null, empty and blank texts have an empty set and stay alone; rows without doc_id are copies of others of their set,
-    or stay with null for a component. Equal sets are linked. doc_id names a document;
-    of rows that repeat one doc_id with equal texts each is returned, in one component. Other columns are not read.
+    Null, empty and blank texts have an empty set and stay alone. Equal sets are linked, whatever their ids. Rows that
+    repeat a doc_id are rows of their own: with equal texts they are linked as copies, with others each has its own
+    links. Rows without doc_id are linked like any other; a group without any doc_id has null for a component. An empty
+    table gives no rows; other columns are not read. A very long text is handled whole in one task.
     """
-    return linked(docs)
+    rows, classes = _grouped(docs)
+    out = rows.join(classes.select("set_key", "component_id"), "set_key", "left")
+    component = F.coalesce("component_id", "doc_id").alias("component_id")
+    return out.select("doc_id", "n_shingles", component, F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of documents that stay, with all their columns; exact repeats of a doc_id stay with it, and rows without
-    doc_id, which cannot be told apart, all stay if one does."""
-    stays = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    """One row of each group, with all its columns, and every row without words.
+
+    Of a group the row with the smallest doc_id stays; one without doc_id only where no row has one. Of rows that
+    repeat this row's doc_id and text, one stays. Extra columns of any name pass through; an empty table stays empty.
+    """
+    rows, classes = _grouped(docs)
+    dropped(rows)
+    own = {c: f"hushgrad_{c}" for c in ("unnamed", "key", "text_key")}
+    stays = classes.where("stays").select(*[F.col(c).alias(n) for c, n in own.items()])
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(worded).withColumns({own["unnamed"]: F.col("doc_id").isNull(), own["key"]: F.coalesce("doc_id", F.lit(0)), own["text_key"]: _text_key()})
+    one = keyed.join(stays, list(own.values()), "left_semi").dropDuplicates(list(own.values())).select(*docs.columns)
+    return one.union(docs.where(~worded))

@@ -62,9 +62,72 @@ def test_components_equal_brute_force(spark, monkeypatch, large):
 
 def test_empty_table_and_repeated_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (None, "p q r s t"), (None, "a b c d e f")], "doc_id long, text string")
-    assert sorted((tuple(r) for r in neardup.near_duplicates(docs).collect()), key=str) == [(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (None, 1, None, True), (None, 2, 1, False)]
-    assert neardup.deduplicated(docs).count() == 5  # rows without an id stay together
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (None, "p q r s t"), (None, "a b c d e f"), (None, "p q r s t"), (3, " \n"), (3, " \n")], "doc_id long, text string")
+    want = [(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (None, 1, None, True), (None, 1, None, True), (None, 2, 1, False), (3, 0, 3, True), (3, 0, 3, True)]
+    assert sorted((tuple(r) for r in neardup.near_duplicates(docs).collect()), key=str) == sorted(want, key=str)
+    # One row of each group, with or without an id, and all rows without words.
+    assert sorted((tuple(r) for r in neardup.deduplicated(docs).collect()), key=str) == sorted([(1, "a b c d e f"), (2, None), (None, "p q r s t"), (3, " \n"), (3, " \n")], key=str)
+
+
+def test_one_id_with_two_texts_keeps_all_links(spark):
+    rows = [(1, "a b c d e f g h"), (1, "p q r s t u v w"), (2, "p q r s t u v w x"), (3, "a b c d e f g h"), (5, "k l m n o p q"), (5, "A B C D E F G H I"), (None, "k l m n o p q"), (7, "k l m n o p q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in neardup.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, 4, 1, True), (1, 4, 1, True), (2, 5, 1, False), (3, 4, 1, False), (5, 3, 5, True), (5, 5, 1, False), (None, 3, 5, False), (7, 3, 5, False)], key=str)
+    assert sorted((tuple(r) for r in neardup.deduplicated(docs).collect()), key=str) == sorted([rows[0], rows[1], rows[4]], key=str)
+
+
+def test_rows_that_repeat_do_not_multiply(spark, monkeypatch):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(61))
+    docs = spark.createDataFrame([(1, a)] * 40 + [(2, b)] * 30 + [(None, b)] * 5, "doc_id long, text string").repartition(4)
+    seen, confirmed = [], neardup._confirmed
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, texts: (seen.append((pairs.count(), texts.count())), confirmed(pairs, texts))[1])
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == 75 and {r.component_id for r in got} == {1} and all(p <= 1 and t <= 2 for p, t in seen)
+    assert [r.doc_id for r in neardup.deduplicated(docs).collect()] == [1]
+
+
+def passage_documents(n, own, common=80):
+    return [" ".join([f"p{j}" for j in range(common)] + [f"d{i}_{j}" for j in range(own)]) for i in range(n)]
+
+
+def test_a_common_passage_forms_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LARGE", 1)
+    texts = passage_documents(60, 20)
+    rest = spark.createDataFrame([(i, i) for i in range(60)], "node long, component long")
+    made = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    assert neardup._sharing(made, rest).count() == 0
+    both, rows = [], texts + passage_documents(3, 4) + [" ".join(f"p{j}" for j in range(80))]
+    for parts in (1000, 3):
+        monkeypatch.setattr(neardup, "SPLIT", parts)
+        rest = spark.createDataFrame([(i, i) for i in range(len(rows))], "node long, component long")
+        made = spark.createDataFrame(list(enumerate(rows)), "node long, text string")
+        both.append({tuple(r) for r in neardup._sharing(made, rest).collect()})
+    sets = [shingle_set(x) for x in rows]
+    links = {(i, j) for j in range(len(rows)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert both[0] == both[1] >= links and len(both[0]) < 300
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in neardup.near_duplicates(docs).collect()) == brute(list(enumerate(rows)))
+
+
+def test_a_hot_centre_equals_brute_force(spark):
+    rng = random.Random(6)
+    base = [f"v{i}" for i in range(70)]
+    texts = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(70)] = f"x{i}"
+        texts.append(" ".join(t))
+    rows = list(enumerate([*texts, *(f"lone {i} word here now and then" for i in range(40))]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted(tuple(r) for r in neardup.near_duplicates(docs).collect()) == brute(rows)
+
+
+def test_clashing_columns_pass_through(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "n", 2, b"k", 4), (2, "a b c d e f", "n", 2, b"k", 4)], "doc_id long, text string, node string, band int, text_key binary, component_id int")
+    out = neardup.deduplicated(docs)
+    assert out.schema == docs.schema and [tuple(r) for r in out.collect()] == [(1, "a b c d e f", "n", 2, b"k", 4)]
 
 
 def test_registers_merge_and_estimate():
