@@ -12,6 +12,7 @@ they take linear time and no deep stack, however long a text is.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -49,6 +50,8 @@ MORE = (
     ("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])", "[0-9][0-9 -]{11}"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", "[0-9A-Fa-f]:[0-9A-Fa-f]"),
 )
+#: Elements of an array that are gathered together.
+STEP = 64
 #: Characters before a span that features look at, and words there that speak for each kind.
 AROUND = 28
 CONTEXT = {
@@ -65,19 +68,52 @@ TREES, DEPTH = 24, 4
 WRONG = 0.02
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is computed once, however often f refers to it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def chunks(items: Column) -> Column:
+    """An array in pieces of STEP elements."""
+    return bound(items, lambda a: F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / STEP).cast("int")), lambda i: F.slice(a, i * STEP + 1, STEP))).otherwise(F.slice(F.array(a), 1, 0)))
+
+
+def scanned(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str) -> Column:
+    """What step(state, item) -> (state, result) gives for all items in turn, an array of type out.
+
+    A growing array is copied at each step, so results of STEP items are gathered apart, and those of all pieces then.
+    """
+    none = F.array().cast(f"array<{out}>")
+
+    def inner(acc: Column, x: Column) -> Column:
+        state, result = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(result)).alias("out"))
+
+    def outer(acc: Column, piece: Column) -> Column:
+        ran = F.aggregate(piece, F.struct(acc["state"].alias("state"), none.alias("out")), inner)
+        return bound(ran, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    return F.aggregate(chunks(items), F.struct(zero.alias("state"), F.array().cast(f"array<array<{out}>>").alias("out")), outer, lambda acc: F.flatten(acc["out"]))
+
+
 def spans(text: Column, pattern: str, needs: str) -> Column:
-    """array<struct<start, end, value>>: matches in order, by code points. Gaps and matches in turn add up to places."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    """array<struct<start, end, value, before>>: matches in order, by code points, with up to AROUND characters before.
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    Gaps and matches in turn add up to places, so the work grows with the text and its matches, not with their product.
+    """
+    kind = "struct<start:int,end:int,value:string,before:string>"
+    gaps = F.split(text, pattern, -1)
+    pairs = bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(g.alias("gap"), v.alias("value"))))
+    last = lambda x: F.substring(x, -AROUND, AROUND)
+
+    def place(state: Column, x: Column) -> tuple[Column, Column]:
+        start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+        before = last(F.concat(state["tail"], last(x["gap"])))
+        return F.struct(end.alias("at"), last(F.concat(before, last(x["value"]))).alias("tail")), F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), before.alias("before"))
 
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(g.alias("gap"), v.alias("value")))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(text.rlike(needs), F.aggregate(pairs, zero, add, lambda acc: acc["out"])).otherwise(none)
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+    return F.when(text.rlike(needs), scanned(pairs, zero, place, kind)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def digits_of(x: Column) -> Column:
@@ -122,31 +158,41 @@ def _placed(kind: int, x: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
 
 
-def features_of(text: Column, x: Column, rule: int) -> Column:
+def features_of(x: Column) -> Column:
     """Numbers about one candidate, by the names of FEATURES."""
-    v = x["value"]
+    v, before = x["value"], x["before"]
     n = F.length(v).cast("double")
     share = lambda cls: F.length(F.regexp_replace(v, f"[^{cls}]", "")) / n
-    before = F.substring(text, F.greatest(x["start"] - AROUND, F.lit(0)) + 1, F.least(x["start"], F.lit(AROUND)))
     # Each word of one kind of characters becomes one sign, so the length that is left counts the changes of kind.
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]++", "a"), "[A-Z]++", "A"), "[0-9]++", "0")
     values = {
-        "rule": F.lit(float(rule)), "size": n, "digits": share("0-9"), "upper": share("A-Z"), "lower": share("a-z"), "signs": 1 - share("A-Za-z0-9"),
-        "distinct": F.size(F.array_distinct(F.split(F.substring(v, 1, 64), ""))).cast("double"), "changes": F.length(kinds).cast("double"), "luhn": luhn(v).cast("double"),
+        "rule": x["rule"].cast("double"), "size": n, "digits": share("0-9"), "upper": share("A-Z"), "lower": share("a-z"), "signs": 1 - share("A-Za-z0-9"),
+        "distinct": F.size(F.array_distinct(F.split(v, ""))).cast("double"), "changes": F.length(kinds).cast("double"), "luhn": luhn(v).cast("double"),
     } | {name: before.rlike(p).cast("double") for name, p in CONTEXT.items()}
     return F.struct(*[values[f].alias(f) for f in FEATURES])
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<kind, start, end, f>> of all generators, by start."""
+    """array<struct<start, end, kind, f>> of all generators, by start."""
     parts = []
     for rule, (kind, pattern, needs) in enumerate(MORE):
-        parts.append(F.transform(spans(text, pattern, needs), partial(_proposed, text, KINDS.index(kind), rule)))
-    return F.array_sort(F.concat(*parts))
+        parts.append(F.transform(spans(text, pattern, needs), partial(_proposed, KINDS.index(kind), rule)))
+    return F.transform(F.array_sort(F.concat(*parts)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), features_of(x).alias("f")))
+
+
+def _proposed(kind: int, rule: int, x: Column) -> Column:
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(rule).alias("rule"), x["value"].alias("value"), x["before"].alias("before"))
+
+
+_made: dict[str, tuple[Column, Column]] = {}
 
 
-def _proposed(text: Column, kind: int, rule: int, x: Column) -> Column:
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), features_of(text, x, rule).alias("f"))
+def _of_text(spark: SparkSession) -> tuple[Column, Column]:
+    """Base spans and candidates of the column text; put together once in each application, since that takes a while."""
+    key = spark.sparkContext.applicationId
+    if key not in _made:
+        _made[key] = base_spans(F.col("text")), candidates(F.col("text"))
+    return _made[key]
 
 
 def made_up(n: int = 1500, seed: int = 5) -> list[tuple[int, str, int, int, int]]:
@@ -211,11 +257,23 @@ def _sum_of(forest: boosting.Forest) -> str:
     return " + ".join([f"{forest.base!r}D", *(f"({of(r)})" for r in forest.roots)])
 
 
+_judged: list[tuple[str, list[float]]] = []
+
+
 def judge(spark: SparkSession) -> tuple[str, list[float]]:
-    """The trees as an SQL expression, and for each kind the log odds from which on a candidate is personal."""
+    """The trees as an SQL expression, and for each kind the log odds from which on a candidate is personal.
+
+    They depend on nothing but this module, so one fit serves a process.
+    """
+    if not _judged:
+        _judged.append(_judge(spark))
+    return _judged[0]
+
+
+def _judge(spark: SparkSession) -> tuple[str, list[float]]:
     rows = made_up()
     schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("b", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("y", T.IntegerType())])
-    made = spark.createDataFrame(rows, schema).withColumn("cands", candidates(F.col("text"))).select("id", "b", "e", "y", F.explode("cands").alias("c")).where("c.start < e and c.end > b").orderBy("id", "c.start", "c.end", "c.kind").collect()
+    made = spark.createDataFrame(rows, schema).withColumn("cands", _of_text(spark)[1]).select("id", "b", "e", "y", F.explode("cands").alias("c")).where("c.start < e and c.end > b").orderBy("id", "c.start", "c.end", "c.kind").collect()
     x = np.array([[r.c.f[f] for f in FEATURES] for r in made])
     # A candidate that covers little of what was planted counts as wrong.
     y = np.array([r.y and min(r.e, r.c.end) - max(r.b, r.c.start) >= 0.6 * max(r.e - r.b, r.c.end - r.c.start) for r in made], float)
@@ -233,19 +291,49 @@ def judge(spark: SparkSession) -> tuple[str, list[float]]:
     return _sum_of(forest), [max(c, 0.0) for c in cuts]
 
 
+_SPAN = "struct<kind:int,start:int,end:int>"
+
+
+def _free(base: Column, good: Column) -> Column:
+    """Candidates that overlap no base span and no earlier accepted one, in order: three walks over the sorted spans."""
+    event = "struct<start:int,base:int,end:int,kind:int,blocked:boolean>"
+    tagged = lambda spans_, base_: F.transform(spans_, lambda s: F.struct(s["start"].alias("start"), F.lit(base_).alias("base"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(False).alias("blocked")))
+    mark = lambda x, blocked: F.struct(x["start"].alias("start"), x["base"].alias("base"), x["end"].alias("end"), x["kind"].alias("kind"), blocked.alias("blocked"))
+
+    # Base spans that begin before a candidate reach into it, or those that begin behind its start begin before its end.
+    def onward(state: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(x["base"] == 0, F.greatest(state, x["end"])).otherwise(state), mark(x, state > x["start"])
+
+    def backward(state: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(x["base"] == 0, x["start"]).otherwise(state), mark(x, x["blocked"] | (state < x["end"]))
+
+    def taken(state: Column, x: Column) -> tuple[Column, Column]:
+        out = x["blocked"] | (state > x["start"])
+        return F.when(out, state).otherwise(x["end"]), mark(x, out)
+
+    events = F.array_sort(F.concat(tagged(base, 0), tagged(good, 1)))
+    seen = scanned(F.reverse(scanned(events, F.lit(0), onward, event)), F.lit((1 << 31) - 1), backward, event)
+    own = F.filter(F.reverse(seen), lambda x: x["base"] == 1)
+    free = F.filter(scanned(own, F.lit(0), taken, event), lambda x: ~x["blocked"])
+    return F.transform(free, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+
+def _good(candidates_: str, expression: str, cuts: list[float]) -> Column:
+    """The candidates that the trees keep."""
+    limit = "array(" + ", ".join(f"{c!r}D" for c in cuts) + ")[c.kind]"
+    return F.expr(f"transform(filter({candidates_}, c -> ({expression}) >= {limit}), c -> struct(c.kind as kind, c.start as start, c.end as end))")
+
+
 def detected(docs: DataFrame) -> DataFrame:
     """doc_id, text, base and spans: arrays of (kind, start, end) by kind and start; kind is a place in KINDS.
 
     Added spans do not overlap base spans or each other: of overlapping ones the earlier, then the shorter, counts.
     """
     expression, cuts = judge(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    limit = "array(" + ", ".join(f"{c!r}D" for c in cuts) + ")[c.kind]"
-    found = docs.select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text"))).withColumn("cands", candidates(F.col("text")))
-    good = found.withColumn("good", F.expr(f"filter(cands, c -> ({expression}) >= {limit} and not exists(base, b -> b.start < c.end and b.end > c.start))"))
-    empty = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    step = lambda acc, c: F.when(F.exists(acc, lambda a: (a["start"] < c["end"]) & (a["end"] > c["start"])), acc).otherwise(F.concat(acc, F.array(F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))))
-    added = good.withColumn("added", F.aggregate("good", empty, step))
+    base, cands = _of_text(docs.sparkSession)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("base", base).withColumn("cands", cands)
+    good = found.withColumn("good", _good("cands", expression, cuts))
+    added = good.withColumn("added", F.when(F.size("good") > 0, _free(F.col("base"), F.col("good"))).otherwise(F.array().cast(f"array<{_SPAN}>")))
     return added.select("doc_id", "text", "base", F.array_sort(F.concat("base", "added")).alias("spans"))
 
 
@@ -258,7 +346,7 @@ def reported(docs: DataFrame) -> DataFrame:
     """Counts and digest of the base spans, and all spans, for each row's whole text.
 
     Null and empty texts have no spans; repeated rows each give a row; an empty table gives none; other columns are
-    not read.
+    not read. The work grows with a text's length and its matches, however many there are.
     """
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return detected(docs).select("doc_id", *[count(i).alias(f"n_{kind}") for i, kind in enumerate(BASE)], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
@@ -267,28 +355,37 @@ def reported(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """The rows with every span of their texts replaced by its kind in brackets, e.g. [EMAIL].
 
-    All columns stay as they are but for text and, where present, n_chars; null texts stay null.
+    All columns stay as they are, whatever they are called, but for text and, where present, n_chars; null texts stay
+    null, repeated rows are each redacted, an empty table stays empty, and texts may be of any length.
     """
     expression, cuts = judge(docs.sparkSession)
-    return _redacted(docs, expression, cuts)
+    own = {n: f"hushgrad_{n}" for n in ("base", "cands", "order", "text")}
+    base, cands = _of_text(docs.sparkSession)
+    found = docs.withColumn(own["base"], base).withColumn(own["cands"], cands)
+    plain = F.transform(own["base"], lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    by_start = F.array_sort(F.transform(F.concat(plain, _good(own["cands"], expression, cuts)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    found = found.withColumn(own["order"], by_start)
+    has = F.size(own["order"]) > 0
+    found = found.withColumn(own["text"], F.when(has, _covered(F.col("text"), F.col(own["order"]))).otherwise(F.col("text")))
+    keep = [F.col(own["text"]).alias("text") if c == "text" else F.when(has, F.length(own["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    return found.select(*keep)
 
 
-def _redacted(docs: DataFrame, expression: str, cuts: list[float]) -> DataFrame:
-    limit = "array(" + ", ".join(f"{c!r}D" for c in cuts) + ")[c.kind]"
+def _covered(text: Column, order: Column) -> Column:
+    """The text with sorted spans covered; overlapping ones as one, under the first one's kind."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    own = {n: f"hushgrad_{n}" for n in ("base", "cands", "order", "text")}
-    found = docs.withColumn(own["base"], base_spans(F.col("text"))).withColumn(own["cands"], candidates(F.col("text")))
-    good = F.expr(f"filter({own['cands']}, c -> ({expression}) >= {limit})")
-    plain = lambda a: F.transform(a, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
-    found = found.withColumn(own["order"], F.array_sort(F.concat(plain(F.col(own["base"])), plain(good))))
-    # Overlapping spans are covered as one, under the first one's kind.
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.element_at(names, s["kind"] + 1))).alias("out"))
-
-    new = F.aggregate(own["order"], zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    found = found.withColumn(own["text"], F.when(F.size(own["order"]) > 0, new).otherwise(F.col("text")))
-    keep = [F.col(own["text"]).alias("text") if c == "text" else F.when(F.size(own["order"]) > 0, F.length(own["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return found.select(*keep)
+    gap = "struct<from:int,to:int,kind:int>"
+
+    def step(state: Column, s: Column) -> tuple[Column, Column]:
+        return F.greatest(state, s["end"]), F.struct(state.alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))
+
+    gaps = F.filter(scanned(order, F.lit(0), step, gap), lambda g: g["to"] >= g["from"])
+
+    # Places in a long text are found by counting from its start, so gaps are cut from pieces of the text.
+    def joined(piece: Column) -> Column:
+        begin = F.element_at(piece, 1)["from"]
+        cut = F.substring(text, begin + 1, F.element_at(piece, -1)["to"] - begin)
+        return bound(cut, lambda c: F.array_join(F.transform(piece, lambda g: F.concat(F.substring(c, g["from"] - begin + 1, g["to"] - g["from"]), F.element_at(names, g["kind"] + 1))), ""))
+
+    end = F.array_max(F.transform(order, lambda s: s["end"]))
+    return F.concat(F.array_join(F.transform(chunks(gaps), joined), ""), F.substring(text, end + 1, F.length(text)))

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from hushgrad.llm import personal
 
 PLAIN = {
@@ -69,3 +71,63 @@ def test_long_and_padded_secrets_are_covered_to_their_ends(spark):
     rows = [*enumerate(texts_), (98, "7" * 200_000), (99, "key4" * 100_000)]
     out = {r.doc_id: r.text for r in personal.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [out[i] for i in range(len(texts_))] == ["we sent [SECRET] to them"] * 5 + ["then password=[SECRET] was set"] * 3
+
+
+def test_many_matches_in_one_text_take_linear_work(spark):
+    n = 30_000
+    rows = [(1, "a@b.co " * n), (2, "+1 555 010 00 10.0.0.1 password=ef5f08a44296d48198 " * 5000), (3, "é 10.0.0.1, " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in personal.reported(docs).collect()}
+    assert got[1].n_email == n and got[1].spans.endswith(f"email:{7 * n - 7}:{7 * n - 1}")
+    for i, x in rows[1:]:
+        want = brute(x)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{b}:{e}" for k, b, e in want).encode()).hexdigest()
+    assert got[2].spans.count("secret:") == 5000
+    out = {r.doc_id: r.text for r in personal.redacted(docs).collect()}
+    assert out[1] == "[EMAIL] " * n and out[3] == "é [IP], " * 5000 and out[2].count("[SECRET]") == 5000
+
+
+def plain_free(base, good):
+    """Candidates against all base spans and all accepted ones, one by one."""
+    out = []
+    for s, e, k in sorted(c for c in good if not any(b[0] < c[1] and b[1] > c[0] for b in base)):
+        if not any(a[0] < e and a[1] > s for a in out):
+            out.append((s, e, k))
+    return out
+
+
+def test_overlaps_equal_comparing_all_with_all(spark):
+    rng = random.Random(4)
+    some = lambda n: [(s := rng.randint(0, 400), s + rng.randint(1, 12), rng.randint(0, 6)) for _ in range(rng.randint(0, n))]
+    rows = [(i, some(20), some(150)) for i in range(120)]
+    kind = "array<struct<start:int,end:int,kind:int>>"
+    made = spark.createDataFrame(rows, f"id int, base {kind}, good {kind}")
+    for r in made.select("id", personal._free(F.col("base"), F.col("good")).alias("free")).collect():
+        assert [(x.start, x.end, x.kind) for x in r.free] == plain_free(rows[r.id][1], rows[r.id][2])
+
+
+def test_added_spans_in_real_documents(spark):
+    """Strings of other draws than the fit's, planted into texts of the documents table."""
+    texts_ = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").orderBy("doc_id").collect()]
+    rng, rows, planted = random.Random(1), [], {}
+    for i, made, b, e, yes in personal.made_up(600, seed=77):
+        words = texts_[i % len(texts_)].split(" ")
+        at = rng.randrange(len(words) + 1)
+        lead = " ".join([*words[:at], ""])
+        rows.append((i, lead + made + " " + " ".join(words[at:])))
+        planted[i] = (len(lead) + b, len(lead) + e, yes)
+    right = wrong = 0
+    for r in personal.reported(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        s, e, yes = planted[r.doc_id]
+        hit = any(int(x) < e and int(y) > s for _, x, y in (z.split(":") for z in r.spans.split(",") if z))
+        right, wrong = right + (hit and yes), wrong + (hit and not yes)
+    positives = sum(y for _, _, y in planted.values())
+    print(f"recall {right / positives:.3f}, wrongly added {wrong / (len(planted) - positives):.3f}")
+    assert right / positives >= 0.9 and wrong / (len(planted) - positives) <= 0.06
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "write joe@example.com", "b", 2, 3), (2, "clean", "b", 2, 3)], "doc_id long, text string, base string, cands int, order int")
+    out = personal.redacted(docs)
+    assert out.schema.names == docs.schema.names
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "write [EMAIL]", "b", 2, 3), (2, "clean", "b", 2, 3)]
