@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import order
 
 CLIP = 1e-15
-#: Ranges of scores that a ranking is split into.
-RANGES = 64
 STRATEGIES = ("equal_mass", "equal_width")
 
 
@@ -70,14 +71,12 @@ def edges(scored: DataFrame, bins: int = 15, strategy: str = "equal_mass", appro
         raise ValueError("bins must be positive")
     if strategy == "equal_width":
         return [i / bins for i in range(bins + 1)]
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    found = scored.agg((F.percentile_approx("p", [i / bins for i in range(bins + 1)], 100_000) if approximate else F.percentile("p", at)).alias("e")).first().e
+    at = [i / bins for i in range(bins + 1)]
+    found = scored.agg(F.percentile_approx("p", at, 100_000).alias("e")).first().e if approximate else order.quantiles(scored, "p", at)
     if found is None:
         raise ValueError("no rows")
     out = sorted(set(found))
     if len(out) == 1:
-        import math
-
         out.append(math.nextafter(out[0], math.inf))
     return out
 
@@ -133,26 +132,25 @@ def log_loss_decomposition(scored: DataFrame, bins: int = 15, strategy: str = "e
     return out.select("score", "calibration", "resolution", "uncertainty", (F.col("score") - F.col("calibration") + F.col("resolution") - F.col("uncertainty")).alias("residual"))
 
 
-def ranked_walk(scored: DataFrame, ranges: int = RANGES) -> DataFrame:
+def ranked_walk(scored: DataFrame, ranges: int | None = None) -> DataFrame:
     """Rows from the highest score on, ties by row_id: k, row_id, score, hit, found, precision, recall.
 
-    Rows are ranked within ranges of scores; small running sums over the ranges give where each begins. No task sorts
-    all rows. Without positive rows recall is null.
+    Rows are ranked within ranges of scores, and of row_id where many rows have one score; the ranges' counts say where
+    each begins. No task sorts all rows, and nothing is joined. Without positive rows recall is null. There are as many
+    ranges as the number of rows asks for, or about as many as the caller does.
     """
-    cuts = scored.agg(F.percentile_approx("p", [i / ranges for i in range(1, ranges)], 10_000).alias("e")).first().e or []
-    cuts = sorted(set(cuts))
-    part = reduce(lambda a, c: a + (F.col("p") < float(c)).cast("int"), cuts, F.lit(0))
-    # Made rows, so that each score is computed once and not once for every range.
-    made = scored.select(F.inline(F.array(F.struct("row_id", "p", "y"))))
-    rows = made.select("row_id", F.col("p").alias("score"), F.col("y").cast("int").alias("hit"), part.alias("part"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
-    starts = starts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("k0"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h0"), F.sum("h").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("positives"))
-    own = Window.partitionBy("part").orderBy(F.desc("score"), "row_id").rowsBetween(Window.unboundedPreceding, 0)
-    walked = rows.withColumn("k1", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("score"), "row_id"))).withColumn("h1", F.sum("hit").over(own)).join(F.broadcast(starts), "part")  # at most one row for each range
-    k, found = (F.col("k0") + F.col("k1")).cast("long"), (F.col("h0") + F.col("h1")).cast("long")
-    out = walked.select(k.alias("k"), "row_id", "score", "hit", found.alias("found"), (found / k).alias("precision"), F.when(F.col("positives") > 0, found / F.when(F.col("positives") > 0, F.col("positives"))).alias("recall"))
-    return out
+    # Made rows, so that each score is computed once and not once for every use.
+    made = scored.select(F.inline(F.array(F.struct("row_id", "p", "y")))).select("row_id", F.col("p").alias("score"), F.col("y").cast("int").alias("hit"), (-F.col("p")).alias("down"))
+    keys = ["down", *(["row_id"] if isinstance(scored.schema["row_id"].dataType, T.NumericType) else [])]
+    by = order.ranges(made, keys, (-1.0, 0.0), {"hits": F.coalesce(F.sum("hit"), F.lit(0))}, ranges)
+    positives = by.total("hits")
+    own = Window.partitionBy("part").orderBy("down", "row_id")
+    run = own.rowsBetween(Window.unboundedPreceding, 0)
+    walked = made.withColumn("part", by.part).withColumn("k1", F.row_number().over(own)).withColumn("h1", F.sum("hit").over(run))
+    starts = order.Ranges(F.col("part"), by.sums)
+    ranks = walked.select("row_id", "score", "hit", (starts.before("n") + F.col("k1")).cast("long").alias("k"), (starts.before("hits") + F.col("h1")).cast("long").alias("found"))
+    recall = F.col("found") / float(positives) if positives else F.lit(None).cast("double")
+    return ranks.select("k", "row_id", "score", "hit", "found", (F.col("found") / F.col("k")).alias("precision"), recall.alias("recall"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:

@@ -13,29 +13,30 @@ from pyspark.sql import functions as F
 
 from hushgrad.functions.coins import coin
 
-#: Rows that one range of the split's coins has, about.
-RANGE_ROWS = 100_000
+from . import order
+
+#: Codes of a vocabulary that are ranked together, and the ranges of larger vocabularies at most.
+RANGE_CODES, RANGES = 100_000, 1024
 
 
 def exact_split(rows: DataFrame, key: str, fraction: float = 0.2, purpose: str = "split", row: str = "row_id", names: tuple[str, str] = ("test", "train"), n_test: int | None = None) -> DataFrame:
     """Adds split: exactly round(n * fraction) rows (half to even), those of the smallest coins, are test rows.
 
-    The coin at the cut is found from counts of coin ranges and one range's rows, so nothing sorts all rows.
+    The coin at the cut is found from counts of coin ranges, and rows of one coin go by the row; nothing sorts all rows.
     """
     u = rows.withColumn("coin", coin(key, purpose, 0, F.col(row)))
+    x = u.select(F.col("coin").alias("x"))
+    n, low, high = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
     if n_test is None:
-        n_test = round(rows.count() * fraction)
-    cells = 4096
-    counts = {r.c: r.n for r in u.groupBy(F.floor(F.col("coin") * cells).cast("int").alias("c")).agg(F.count("*").alias("n")).collect()}
-    below, cell = 0, 0
-    while cell < cells and below + counts.get(cell, 0) < n_test:
-        below += counts.get(cell, 0)
-        cell += 1
-    at = u.where(F.floor(F.col("coin") * cells) == cell).orderBy("coin", row).limit(n_test - below).agg(F.max(F.struct("coin", row)).alias("m")).first().m
-    if at is None:
-        inside: Column = F.floor(F.col("coin") * cells) < cell
+        n_test = round(n * fraction)
+    if n_test <= 0 or n_test >= n:
+        inside: Column = F.lit(n_test > 0)
     else:
-        inside = (F.col("coin") < at["coin"]) | ((F.col("coin") == at["coin"]) & (F.col(row) <= at[row]))
+        at = order.at_ranks(x, [n_test - 1], (n, low, high))[n_test - 1]
+        inside = F.col("coin") <= at.value
+        if (spare := at.below + at.equal - n_test) > 0:
+            last = [r[0] for r in u.where(F.col("coin") == at.value).orderBy(F.desc(row)).limit(spare).select(row).collect()]  # ties of one coin
+            inside &= (F.col("coin") < at.value) | (F.col(row) < F.lit(last[-1]))
     return u.withColumn("split", F.when(inside, names[0]).otherwise(names[1])).drop("coin")
 
 
@@ -53,8 +54,12 @@ def present(x: Column) -> Column:
 
 def medians(rows: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians of the train rows' present values."""
-    r = rows.where("split = 'train'").agg(*[F.median(present(F.col(c))).alias(c) for c in columns]).first()
-    return {c: r[c] for c in columns}
+    train = rows.where("split = 'train'").select(*columns)
+    out = {}
+    for c in columns:
+        at = order.quantiles(train, c, [0.5])
+        out[c] = None if at is None else at[0]
+    return out
 
 
 def filled(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -80,24 +85,44 @@ def frequency_encoded(rows: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame, column: str) -> DataFrame:
-    """(code, index) of the train rows' distinct codes in sorted order, ranked in ranges without one sort of all."""
+    """(code, index) of the train rows' distinct codes in sorted order."""
+    return _vocabulary(rows, column)[0]
+
+
+def _vocabulary(rows: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """The vocabulary and its size. Large ones are ranked in ranges between codes that a hash picks, so no task sorts all;
+    whichever codes are picked, the ranks are the same."""
     codes = rows.where(f"split = 'train' and {column} is not null").select(F.col(column).alias("code")).distinct()
-    return codes.withColumn("index", (F.row_number().over(Window.orderBy("code")) - 1).cast("int"))
+    n = codes.count()
+    parts = min(RANGES, -(-n // RANGE_CODES))
+    if parts <= 1:
+        return codes.withColumn("index", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("code")) - 1).cast("int")), n
+    picked = sorted(r.code for r in codes.orderBy(F.xxhash64("code"), "code").limit(8 * parts).collect())
+    cuts = F.array(*[F.lit(c) for c in picked[4::8]])
+    ranged = codes.withColumn("part", F.size(F.filter(cuts, lambda c: c <= F.col("code"))))
+    count = {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    starts = order.Ranges(F.col("part"), [{"n": count.get(i, 0)} for i in range(parts + 1)])
+    own = F.row_number().over(Window.partitionBy("part").orderBy("code"))
+    return ranged.withColumn("index", (own + starts.before("n") - 1).cast("int")).drop("part"), n
+
+
+def _placed(rows: DataFrame, vocabulary_: DataFrame, column: str, out: str) -> DataFrame:
+    v = vocabulary_.select(F.col("code").alias(column), F.col("index").alias(out))
+    return rows.join(v, column, "left").withColumn("seen", F.col(out).isNotNull())
 
 
 def vocab_index(rows: DataFrame, column: str, out: str = "index") -> DataFrame:
     """Place in the vocabulary and whether the code is in it."""
-    v = vocabulary(rows, column).select(F.col("code").alias(column), F.col("index").alias(out))
-    return rows.join(v, column, "left").withColumn("seen", F.col(out).isNotNull())
+    return _placed(rows, vocabulary(rows, column), column, out)
 
 
 def one_hot_index(rows: DataFrame, columns: list[str], first: int) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
     """Adds <column>_idx: offset plus place, unseen codes in the slot behind the vocabulary; offsets and sizes by column."""
-    at, layout = first, {}
+    at, layout, given = first, {}, rows
     for c in columns:
-        size = vocabulary(rows, c).count()
+        known, size = _vocabulary(given, c)
         layout[c] = (at, size)
-        rows = vocab_index(rows, c, f"{c}_place").withColumn(f"{c}_idx", (F.coalesce(F.col(f"{c}_place"), F.lit(size)) + at).cast("int")).drop(f"{c}_place", "seen")
+        rows = _placed(rows, known, c, f"{c}_place").withColumn(f"{c}_idx", (F.coalesce(F.col(f"{c}_place"), F.lit(size)) + at).cast("int")).drop(f"{c}_place", "seen")
         at += size + 1
     return rows, layout
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from hushgrad.functions import coins
 from hushgrad.functions.coins import sql_coin, sql_gaussian, sql_laplace
-from hushgrad.operators import accounting, metrics, prep, sampling, stages, training, updates
+from hushgrad.operators import accounting, metrics, order, prep, sampling, stages, training, updates
 from hushgrad.sources import tables
 
 QUERIES: dict = {}
@@ -460,7 +460,8 @@ def _(spark, d):
 
 @query("grad_norm_probe", f"with {GRADS} select {r('quantile_cont(norm, 0.5)', 'median')}, {r('quantile_cont(norm, 0.99)', 'p99')}, {r('max(norm)', 'largest')} from grads")
 def _(spark, d):
-    return click_grads(spark, d).agg(F.percentile("norm", 0.5).alias("median"), F.percentile("norm", 0.99).alias("p99"), F.max("norm").alias("largest"))
+    at = order.quantiles(click_grads(spark, d), "norm", [0.5, 0.99, 1.0])
+    return spark.createDataFrame([tuple(at)], "median double, p99 double, largest double")
 
 
 @query("norms_docs", "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))), 5) + 0.0::double as norm from embeddings")
