@@ -88,6 +88,17 @@ def dropped(*tables: DataFrame) -> None:
             _written.remove(entry)
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join by a long column whose hot keys Spark can split when it runs (adaptive skew joins).
+
+    That needs an exchange of its own on both sides, which an aggregate by the same key would not get. So the key is
+    hashed once more: xxhash64 of a long is one to one. The right side has one row for each key.
+    """
+    other = right.withColumnRenamed(key, "hushgrad_key")
+    out = left.join(other, F.xxhash64(left[key]) == F.xxhash64(other["hushgrad_key"]), how)
+    return out if how in ("left_semi", "left_anti") else out.drop("hushgrad_key")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -7,8 +7,8 @@ connected, small ones propose their pairs; the nodes of large ones are compared
 with others, which loses no link. Nodes that merely hold one long passage are told by the sizes alone: of two similar
 sets the smaller one must share nearly all of its shingles, and without such a node a shingle forms no pairs.
 
-Whatever is joined by a key that many rows may have (a band, a centre, a shingle) lies on both sides in a written table,
-so that Spark splits such keys when it runs (adaptive skew joins); hot shingles are salted besides.
+Whatever is joined by a key that many rows may have (a band, a centre, a shingle) has an exchange of its own on both
+sides, so that Spark splits such keys when it runs (adaptive skew joins); hot shingles are salted besides.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketches
-from ._shared import arrow_map, dropped, fields, saved, small_batches
+from ._shared import arrow_map, dropped, fields, joined, saved, small_batches
 from .components import components
 
 #: Links need 100 * intersection >= PERCENT * union. Estimates under SURE are no links (they stray by 0.04 at 0.75).
@@ -108,7 +108,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: (doc_id, n_shingles, set_key) of every row, and (set_key, component_id, stays) of every class
+    """Two written tables: doc_id, n_shingles, set_key and more of every row, and (set_key, component_id, stays) of every class
     with its representative row (unnamed, key, text_key)."""
     texts = docs.select("doc_id", "text")
     made = saved(features(texts), "features")
@@ -116,29 +116,24 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "n_shingles", "registers")).alias("r")
     classes = made.where("n_shingles > 0").groupBy("set_key").agg(first).select(F.monotonically_increasing_id().alias("node"), "set_key", "r.*")
     classes = saved(classes, "classes")  # numbered once and for all
-    slim = saved(made.select("doc_id", "n_shingles", "set_key"), "rows")
-    dropped(made)
-    links = _links(texts, classes)
+    links, used = _links(texts, classes)
     group = components(links)
     owned = saved(classes.select("node", "set_key", "unnamed", "doc_id", "text_key").join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "owned")
-    least = saved(owned.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "text_key", "node")).alias("l")).select("component", F.col("l.doc_id").alias("component_id"), F.col("l.node").alias("stayer")), "least")
-    named = owned.join(least, "component").select("set_key", "component_id", (F.col("node") == F.col("stayer")).alias("stays"), "unnamed", F.coalesce("doc_id", F.lit(0)).alias("key"), "text_key")
+    least = owned.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "text_key", "node")).alias("l")).select("component", F.col("l.doc_id").alias("component_id"), F.col("l.node").alias("stayer"))
+    named = joined(owned, least, "component").select("set_key", "component_id", (F.col("node") == F.col("stayer")).alias("stays"), "unnamed", F.coalesce("doc_id", F.lit(0)).alias("key"), "text_key")
     named = saved(named, "named")
-    dropped(links, group, owned, least, classes)
-    return slim, named
+    dropped(*used, group, owned, classes)
+    return made, named
 
 
-def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes, whose components are those of all links."""
+def _links(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between nodes, whose components are those of all links, and the tables that they lie in."""
     sets = classes.select("node", "n_shingles", "registers")
     key = lambda i: F.xxhash64(i, F.substring("registers", i * sketches.ROWS + 1, sketches.ROWS))
     banded = sets.select("node", "n_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.lit(sketches.BANDS - 1)), key)).alias("band"))
-    shared = saved(banded.groupBy("band").agg(F.count("*").alias("held")).where("held > 1"), "shared")
-    held = saved(banded.join(shared, "band"), "held")
+    held = joined(banded, banded.groupBy("band").agg(F.count("*").alias("held")).where("held > 1"), "band")
     # What a group's copies derive from lies in the largest bands of all: it makes the best centre.
-    weight = held.groupBy("node").agg(F.sum("held").alias("weight"))
-    members = saved(held.join(weight, "node"), "members")
-    dropped(shared, held)
+    members = saved(held.withColumn("weight", F.sum("held").over(Window.partitionBy("node"))), "members")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         likely = saved(_likely(pairs, sets), "likely")
@@ -148,37 +143,37 @@ def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
         return out
 
     at = members.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("o"), "node", "n_shingles")).alias("m"))
-    at = saved(at.select("band", F.col("m.node").alias("c"), F.col("m.n_shingles").alias("n")), "centres")
-    near = members.join(at, "band").where((F.col("node") != F.col("c")) & _near_sizes("n", "n_shingles"))
+    near = joined(members, at.select("band", F.col("m.node").alias("c"), F.col("m.n_shingles").alias("n")), "band")
+    near = near.where((F.col("node") != F.col("c")) & _near_sizes("n", "n_shingles"))
     star = saved(near.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct(), "pairs")
     links = confirmed(star)
-    known = _nearby(links)
-    live = saved(members.join(known, "node", "left").select("band", "node", "n_shingles", "held", F.coalesce("component", "node").alias("component")), "live")
-    mixed = saved(live.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"), "mixed")
-    open_ = saved(live.join(mixed, "band", "left_semi"), "open")
-    dropped(members, at, known, live, mixed)
+    live = members.join(_nearby(links), "node", "left").select("band", "node", "n_shingles", "held", F.coalesce("component", "node").alias("component"))
+    live = saved(live, "live")
+    dropped(members)
+    mixed = live.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    open_ = saved(joined(live, mixed, "band", "left_semi"), "open")
+    dropped(live)
     if open_.isEmpty():
-        return links
+        return links, [links, star, open_]
     x, y = open_.where(F.col("held") <= LARGE).alias("x"), open_.where(F.col("held") <= LARGE).alias("y")
     small = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _near_sizes("x.n_shingles", "y.n_shingles"))
-    small = small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs, used = small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), []
     rest = saved(open_.where(F.col("held") > LARGE).select("node", "component").distinct(), "rest")
-    sharing = rest.select(F.col("node").alias("a"), F.col("node").alias("b")) if rest.isEmpty() else _sharing(_texts(texts, classes, rest.select("node")), rest)
-    pairs = saved(small.union(sharing).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    more = confirmed(pairs)
-    out = saved(links.union(more), "links")
-    dropped(open_, rest, sharing, star, pairs, links, more)
-    return out
+    if not rest.isEmpty():
+        some = _texts(texts, classes, rest.select("node"))
+        sharing, used = _sharing(some, rest)
+        pairs = pairs.union(sharing)
+        dropped(some)
+    more = confirmed(pairs.distinct().join(star, ["a", "b"], "left_anti"))
+    dropped(open_, rest, star, *used)
+    return links.union(more), [links, more]
 
 
 def _nearby(links: DataFrame) -> DataFrame:
     """(node, component) with the smallest node within two links: part of a component, which is all that pruning needs."""
-    both = saved(links.union(links.select("b", "a")).distinct(), "both")
-    one = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "one")
-    reach = both.join(one, both.b == one.node).groupBy("a").agg(F.min("component").alias("component"))
-    out = saved(reach.withColumnRenamed("a", "node"), "nearby")
-    dropped(both, one)
-    return out
+    both = links.union(links.select("b", "a"))
+    one = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("component"))
+    return joined(both, one, "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
 
 
 def _near_sizes(a: str, b: str):
@@ -223,8 +218,8 @@ def _text_key():
     return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
-def _sharing(texts: DataFrame, rest: DataFrame) -> DataFrame:
-    """Pairs (a, b), written, of different components that can be similar, by prefixes of their sets.
+def _sharing(texts: DataFrame, rest: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b) of different components that can be similar, by prefixes of their sets, and the tables they come from.
 
     Only shingles that two components share can be in the overlap of such a pair. Of n shingles m are of this kind; an
     overlap of at least PERCENT of n leaves m - ceil(PERCENT n / 100) of them out at most, so in one order for all,
@@ -246,18 +241,17 @@ def _sharing(texts: DataFrame, rest: DataFrame) -> DataFrame:
 
     schema = fields(("shingle", T.LongType()), ("node", T.LongType()), ("component", T.LongType()), ("n", T.IntegerType()))
     rows = arrow_map(rows, make, schema)
-    mixed = saved(rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle"), "mixed")
-    both = saved(rows.join(mixed, "shingle", "left_semi"), "both")
-    enough = both.groupBy("node").agg(F.count("*").alias("m"), F.first("n").alias("of")).where(F.col("m") * 100 >= PERCENT * F.col("of"))
-    kept = saved(both.join(enough.select("node", "m", _able("m", "of").alias("able")), "node"), "kept")
-    frequency = kept.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("able").alias("able")).where("low < high and able")
-    frequency = saved(frequency.select("shingle", "df"), "frequency")
-    shared = kept.drop("able").join(frequency, "shingle")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    own = Window.partitionBy("node")
+    both = joined(rows, mixed, "shingle", "left_semi").withColumn("m", F.count("*").over(own))
+    kept = saved(both.where(F.col("m") * 100 >= PERCENT * F.col("n")).withColumn("able", _able("m", "n")), "kept")
+    frequency = kept.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("able").alias("any")).where("low < high and any").select("shingle", "df")
+    shared = joined(kept.drop("able"), frequency, "shingle")
     # Shingles that have become unshared count as left out: they take the first places, which need no rows.
-    lost = F.col("m") - F.count("*").over(Window.partitionBy("node"))
-    first = shared.withColumn("place", place + lost).where(F.col("place") <= F.col("m") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+    place = F.row_number().over(own.orderBy("df", "shingle")) + F.col("m") - F.count("*").over(own)
+    first = shared.withColumn("place", place).where(F.col("place") <= F.col("m") - F.ceil(F.col("n") * PERCENT / 100) + 1)
     first = saved(first.select("shingle", "node", "component", "n", "df", (F.col("m") - F.col("place") + 1).alias("left")), "prefixes")
+    dropped(kept)
     parts = F.floor(F.col("df") / SPLIT).cast("int") + 1
     x = first.where(_able("left", "n")).withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).alias("x")
     y = first.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int")).alias("y")
@@ -265,9 +259,7 @@ def _sharing(texts: DataFrame, rest: DataFrame) -> DataFrame:
     room = F.least("x.left", "y.left") * (100 + PERCENT) >= PERCENT * (F.col("x.n") + F.col("y.n"))
     fits = (F.col("x.n") <= F.col("y.n")) & (F.col("x.component") != F.col("y.component")) & _near_sizes("x.n", "y.n") & room
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.salt") == F.col("y.salt")) & fits)
-    out = saved(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "sharing")
-    dropped(texts, mixed, both, kept, frequency, first)
-    return out
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), [first]
 
 
 def _able(shared: str, n: str):

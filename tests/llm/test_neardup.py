@@ -96,13 +96,13 @@ def test_a_common_passage_forms_no_pairs(spark, monkeypatch):
     texts = passage_documents(60, 20)
     rest = spark.createDataFrame([(i, i) for i in range(60)], "node long, component long")
     made = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    assert neardup._sharing(made, rest).count() == 0
+    assert neardup._sharing(made, rest)[0].count() == 0
     both, rows = [], texts + passage_documents(3, 4) + [" ".join(f"p{j}" for j in range(80))]
     for parts in (1000, 3):
         monkeypatch.setattr(neardup, "SPLIT", parts)
         rest = spark.createDataFrame([(i, i) for i in range(len(rows))], "node long, component long")
         made = spark.createDataFrame(list(enumerate(rows)), "node long, text string")
-        both.append({tuple(r) for r in neardup._sharing(made, rest).collect()})
+        both.append({tuple(r) for r in neardup._sharing(made, rest)[0].collect()})
     sets = [shingle_set(x) for x in rows]
     links = {(i, j) for j in range(len(rows)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     assert both[0] == both[1] >= links and len(both[0]) < 300
