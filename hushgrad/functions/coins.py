@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -33,6 +34,12 @@ def gaussian(key: str, purpose: str, step, row: Column) -> Column:
     return F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2.0 * math.pi * v)
 
 
+def drawn_gaussian(key: str, purpose: str, step, row) -> float:
+    """gaussian() for one row, on the driver."""
+    u, v = (int(hashlib.md5(f"{key}|{purpose}-{x}|{step}|{row}".encode(), usedforsecurity=False).hexdigest()[:DIGITS], 16) / VALUES for x in "uv")
+    return math.sqrt(-2.0 * math.log(1.0 - u)) * math.cos(2.0 * math.pi * v)
+
+
 def laplace(key: str, purpose: str, step, row: Column) -> Column:
     """A Laplace draw of scale 1 by the inverse distribution of one coin."""
     u = coin(key, purpose, step, row) - 0.5

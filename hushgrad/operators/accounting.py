@@ -7,6 +7,7 @@ neighbours for epsilon(), fixed draws without replacement under advanced composi
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -58,11 +59,20 @@ def _renyi_epsilon(schedules: Sequence[Schedule], delta: float) -> float:
     total = sum(s.releases * renyi(s.rate, s.multiplier) for s in schedules)
     # Canonne, Kamath, Steinke 2020.
     eps = total + np.log1p(-1 / ORDERS) - (math.log(delta) + np.log(ORDERS)) / (ORDERS - 1)
-    return max(0.0, float(np.nanmin(eps)))
+    fine = ~np.isnan(eps)
+    if not fine.any():
+        raise ValueError("no order gave a number")
+    if not fine.all():
+        warnings.warn(f"{(~fine).sum()} of {len(ORDERS)} orders gave no number and were left out, from {ORDERS[~fine].min():g} on", stacklevel=3)
+    return max(0.0, float(eps[fine].min()))
 
 
 def _loss_epsilon(schedules: Sequence[Schedule], delta: float, step: float = 2e-4, points: int = 1 << 19) -> float:
-    """Losses on a grid, composed by Fourier transforms; the worse of both directions."""
+    """Losses on a grid, composed by Fourier transforms; the worse of both directions.
+
+    A close estimate, not a bound: losses are taken in the middle of small cells, and masses are interpolated. Mass
+    that falls off the grid counts as a certain failure.
+    """
     half = points // 2
     out = 0.0
     for remove in (True, False):
@@ -79,7 +89,7 @@ def _loss_epsilon(schedules: Sequence[Schedule], delta: float, step: float = 2e-
             loss = np.logaddexp(np.log1p(-q) if q < 1 else -np.inf, math.log(q) + (2 * mid - 1) / (2 * z * z))
             mass, loss = (mixed, loss) if remove else (base, -loss)
             # Mass between two grid points goes to both so that it keeps its sum under either distribution
-            # (Doroshenko et al. 2022): never too low, and off by the square of the step only.
+            # (Doroshenko et al. 2022): off by the square of the step only.
             at = np.floor(loss / step).astype(np.int64)
             up = mass * np.expm1(-(loss - at * step)) / np.expm1(-step)
             keep = np.abs(at) < half - 1
@@ -188,10 +198,14 @@ def spider_noise(rows: int, anchor: int, variation: int, steps: int, interval: i
 
 
 def spider_epsilon(rows: int, anchor: int, variation: int, steps: int, interval: int, constants: Lipschitz, noise: NoiseScales, delta: float, method: str = "rdp", align: bool = True) -> float:
-    """The inverse; noise whose cap and rate disagree is refused, or priced at the weaker of both."""
+    """The inverse; noise whose cap and rate disagree is refused, or priced at the weaker of both, with a warning."""
+    if not (noise.anchor > 0 and noise.variation_rate > 0 and noise.variation_cap > 0):
+        raise ValueError("noise scales must be positive")
     by_rate, by_cap = variation * noise.variation_rate / constants.l1, variation * noise.variation_cap / (2 * constants.l0)
-    if align and not math.isclose(by_rate, by_cap, rel_tol=1e-9):
-        raise ValueError("the variation's rate and cap stand for different multipliers")
+    if not math.isclose(by_rate, by_cap, rel_tol=1e-9):
+        if align:
+            raise ValueError("the variation's rate and cap stand for different multipliers")
+        warnings.warn("the variation's rate and cap stand for different multipliers; the weaker one is priced", stacklevel=2)
     anchors, variations = release_counts(steps, interval)
     return epsilon([Schedule(anchor / rows, noise.anchor * anchor / constants.l0, anchors), Schedule(variation / rows, min(by_rate, by_cap), variations)], delta, method)
 
@@ -202,6 +216,24 @@ def _check_budget(eps: float, delta: float) -> None:
     _check_delta(delta)
 
 
+@dataclass(frozen=True)
+class GaussianClaim:
+    """A Gaussian release of a mean of gradients clipped to a norm: noise of multiplier * 2 clip_norm / batch size."""
+
+    clip_norm: float
+    noise_multiplier: float
+
+
+def check_claim(claim: object, clip_norm: float | None = None, noise_multiplier: float | None = None) -> None:
+    """Refuses an estimator that is not the mechanism which steps are priced as, or has other numbers than the run's."""
+    if not isinstance(claim, GaussianClaim):
+        raise ValueError(f"a step is priced as Gaussian releases of means; a claim of {type(claim).__name__} is something else")
+    if clip_norm is not None and not math.isclose(claim.clip_norm, clip_norm):
+        raise ValueError(f"the claim's clip_norm is {claim.clip_norm}, the run clips to {clip_norm}")
+    if noise_multiplier is not None and claim.noise_multiplier < noise_multiplier * (1 - 1e-12):
+        raise ValueError(f"the claim's noise_multiplier is {claim.noise_multiplier}, the run's price needs {noise_multiplier}")
+
+
 def inner_multiplier(eps: float, delta: float) -> float:
     _check_budget(eps, delta)
     return 32 * math.sqrt(2 * math.log(20 / delta)) / eps

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +10,7 @@ from pyspark.sql import types as T
 from hushgrad.functions import coins
 from hushgrad.functions.coins import sql_coin, sql_gaussian, sql_laplace
 from hushgrad.operators import accounting, metrics, order, prep, sampling, stages, training, updates
-from hushgrad.sources import tables
+from hushgrad.sources import loaders, tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -191,6 +192,15 @@ def _(spark, d):
     return metrics.best_f1(tables.scored_clicks(spark, d))
 
 
+LINE_WALK = """walk as (select row_number() over o k, p score, y hit, (sum(y) over (o rows unbounded preceding))::bigint found, (sum(y) over ())::double pos from (select l_orderkey * 8 + l_linenumber row_id, p, y from lineitem, lateral (select %s p, (l_returnflag = 'R')::int y)) window o as (order by p desc, row_id)),
+w as (select *, found / k::double pr, found / pos re from walk)""" % P_LINES
+
+
+@query("best_f1_lines", f"with {LINE_WALK} select {r('score', 'threshold')}, {r('2 * pr * re / greatest(pr + re, 1e-12)', 'f1')}, {r('pr', 'precision')}, {r('re', 'recall')} from w order by 2 * pr * re / greatest(pr + re, 1e-12) desc, k limit 1")
+def _(spark, d):
+    return metrics.best_f1(tables.scored_lines(spark, d, row=True))
+
+
 @query("tie_collapsed", f"with {LINES} select {r('round(p, 2)', 'p')}, count(*) n, sum(y)::bigint hits from lines group by round(p, 2)")
 def _(spark, d):
     return metrics.tie_collapsed(tables.scored_lines(spark, d).withColumn("p", F.round("p", 2)))
@@ -325,24 +335,7 @@ def _(spark, d):
 
 
 def load(spark, d, features: str = "all", prepared: bool = True, standard: bool = False, bound: float | None = None) -> DataFrame:
-    """The loader's independent axes: which features, prepared or raw, standardized or not, capped or not."""
-    if features not in ("numeric", "all"):
-        raise ValueError("features must be 'numeric' or 'all'")
-    cols = ["v", "hour", "k"]
-    rows = planted(spark, d)
-    if features == "all":
-        rows = prep.frequency_encoded(rows, "code", "f") if prepared else rows.withColumn("f", F.col("code").cast("double"))
-        cols.append("f")
-    if prepared:
-        rows = prep.integer_chain(rows, cols[:3])
-    else:
-        rows = rows.withColumn("v", prep.present(F.col("v")))
-    if standard:
-        rows = prep.standardized(rows, cols)
-    rows = rows.select("row_id", "split", "y", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-    if bound is not None:
-        rows = prep.norm_capped(rows, bound)
-    return rows.select("row_id", "split", "y", *[F.col("x")[i].alias(c) for i, c in enumerate(cols)])
+    return loaders.load(planted(spark, d), ["v", "hour", "k"], ["code"], features=features, prepared=prepared, standard=standard, bound=bound).rows.withColumnsRenamed({"f_code": "f"})
 
 
 def load_sql(features: str, prepared: bool, standard: bool, bound: float | None) -> str:
@@ -396,8 +389,7 @@ def _(spark, d):
     rows, layout = indexed(spark, d)
     width = sum(n + 1 for _, n in layout.values()) + 3
     rows = prep.sparse_rows(rows.withColumn("one", F.lit(1.0)), ["v", "k", "one"], ["code", "hour"])
-    weights = spark.range(width).select(F.col("id").cast("int").alias("idx"), ((F.col("id") + 1) * 0.01).alias("w"))
-    return stages.logit_sparse(rows, weights, -1.0)
+    return stages.sparse_logits(rows.select("row_id", "idx", "val"), stages.SparseLinear(0.01 * (np.arange(width) + 1), -1.0)).select("row_id", "z")
 
 
 BCE = "greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))"
@@ -440,6 +432,17 @@ def _(spark, d):
     return g.agg(*stages.summed(g, XS), F.count("*").alias("n")).select(*[(F.col(f"g_{c}") / F.col("n")).alias(f"g_{c}") for c in (*XS, "b")])
 
 
+LINE_Z = "(0.4::double * x1 + -3.0::double * x2 + 2.5::double * x3 + 0.5::double * x4 + -1.0::double)"
+LINE_GRADS = f"{LINES}, lg as (select *, 1.0 / (1.0 + exp(-{LINE_Z})) - y r, sqrt(x1 * x1 + x2 * x2 + x3 * x3 + x4 * x4 + 1.0) nx from lines), lk as (select *, r * least(1.0, 0.5::double / (abs(r) * nx + 1e-12)) kk from lg)"
+
+
+@query("batch_grad_lines", f"with {LINE_GRADS} select " + ", ".join(r(f"sum(kk * {c}) / count(*)", f"g_{c}") for c in ("x1", "x2", "x3", "x4")) + f", {r('sum(kk) / count(*)', 'g_b')} from lk")
+def _(spark, d):
+    g = stages.gradients(tables.lines(spark, d), LOGISTIC, tables.LINE_MODEL, tables.LINE_FEATURES, 0.5)
+    names = (*tables.LINE_FEATURES, "b")
+    return g.agg(*stages.summed(g, tables.LINE_FEATURES), F.count("*").alias("n")).select(*[(F.col(f"g_{c}") / F.col("n")).alias(f"g_{c}") for c in names])
+
+
 @query("masked_sum", f"with {GRADS} select {sums_sql(where='row_id % 3 = 0')} from grads")
 def _(spark, d):
     g = click_grads(spark, d)
@@ -458,6 +461,70 @@ def _(spark, d):
     return stages.sparse_sums(rows.withColumn("r1", stages.sigmoid(F.col("v") - 1.0) - F.col("y")), "r1")
 
 
+#: Rows of load_one_hot: numbers v and k prepared, ones for code and hour, capped at norm 1.2; fixed weights by index.
+ONE_HOT = f"{INDEXED}, kmed as (select median(k) m from planted where split = 'train'), oh as (select row_id, split, y, c, ln(1 + greatest(coalesce(k, m), 0)) lk, code_idx - 1 code_idx, hour_idx - 1 hour_idx from indexed, kmed)"
+CAPPED = f"{ONE_HOT}, sp as (select *, greatest(1.0::double, sqrt(c * c + lk * lk + 2.0) / 1.2::double) cap from oh)"
+SPARSE_Z = "((0.05::double * cos(0.0::double) * c + 0.05::double * cos(1.0::double) * lk + 0.05::double * cos(code_idx::double) + 0.05::double * cos(hour_idx::double)) / cap - 0.3::double)"
+SPARSE_G = f"{CAPPED}, sz as (select *, {SPARSE_Z} z, sqrt((c * c + lk * lk + 2.0) / (cap * cap) + 1.0) nx from sp where split = 'train'), sg as (select *, 1.0 / (1.0 + exp(-z)) - y r from sz), sn as (select *, abs(r) * nx norm, r * least(1.0, 0.5::double / (abs(r) * nx + 1e-12)) kk from sg)"
+SPARSE_DRAWN = f"row_id in (select row_id from clicks where {sql_coin(KEY, 'poisson', '1', 'row_id')} < 0.1)"
+SPARSE_LONG = f"lg as (select kk, unnest([0, 1, code_idx, hour_idx, -1]) idx, unnest([c / cap, lk / cap, 1.0::double / cap, 1.0::double / cap, 1.0::double]) val from sn where {SPARSE_DRAWN}), tot as (select idx, sum(kk * val) g from lg group by idx)"
+
+
+def one_hot(spark, d, bound: float | None = 1.2) -> loaders.SparseSplit:
+    return loaders.load_one_hot(planted(spark, d), ["v", "k"], ["code", "hour"], bound=bound)
+
+
+def sparse_model(split: loaders.SparseSplit) -> stages.SparseLinear:
+    return stages.SparseLinear(0.05 * np.cos(np.arange(split.width)), -0.3)
+
+
+@query("load_one_hot_capped", f"with {CAPPED}, long as (select row_id, split, y, unnest([0, 1, code_idx, hour_idx]) idx, unnest([c, lk, 1.0::double, 1.0::double]) / cap val from sp) select row_id, split, y::bigint y, idx::bigint idx, {r('val', 'val')} from long")
+def _(spark, d):
+    return one_hot(spark, d).rows.select("row_id", "split", "y", F.inline(F.arrays_zip("idx", "val")))
+
+
+@query("load_one_hot_raw", f"with {ONE_HOT}, raw as (select oh.row_id, v, planted.k, code_idx, hour_idx from oh join planted using (row_id)), long as (select row_id, unnest([0, 1, code_idx, hour_idx]) idx, unnest([v, k, 1.0::double, 1.0::double]) val from raw) select row_id, idx::bigint idx, {r('val', 'val')} from long")
+def _(spark, d):
+    return loaders.load_one_hot(planted(spark, d), ["v", "k"], ["code", "hour"], prepared=False).rows.select("row_id", F.inline(F.arrays_zip("idx", "val")))
+
+
+@query("sparse_norms", f"with {SPARSE_G} select row_id, {r('norm', 'norm')}, {r('kk', 'k')} from sn")
+def _(spark, d):
+    split = one_hot(spark, d)
+    return stages.sparse_gradients(split.train, LOGISTIC, sparse_model(split), 0.5).select("row_id", "norm", "k")
+
+
+def sparse_released(spark, d) -> tuple[loaders.SparseSplit, DataFrame]:
+    """(idx, g) of one private release: noise for every index, drawn or not; the bias is at -1."""
+    split = one_hot(spark, d)
+    g = stages.sparse_gradients(sampling.poisson_batch(split.train, 0.1, KEY, 1), LOGISTIC, sparse_model(split), 0.5)
+    sums = stages.sparse_sums(g.withColumns({"idx": F.concat("idx", F.array(F.lit(-1))), "val": F.concat("val", F.array(F.lit(1.0)))}))
+    every = spark.range(-1, split.width).select(F.col("id").cast("int").alias("idx"))
+    noise = F.lit(0.55) * coins.gaussian(KEY, "noise", 1, F.col("idx"))
+    return split, every.join(sums, "idx", "left").select("idx", ((F.coalesce("g", F.lit(0.0)) + noise) / 1000.0).alias("g"))
+
+
+EVERY = "every as (select i::bigint idx from range(-1, (select 2 + (select count(*) from vocab) + 1 + (select count(*) from hours) + 1)) t(i))"
+SPARSE_REL = f"{EVERY}, rel as (select idx, (coalesce(g, 0) + 0.55::double * {sql_gaussian(KEY, 'noise', '1', 'idx')}) / 1000.0::double g from every left join tot using (idx))"
+
+
+@query("sparse_release", f"with {SPARSE_G}, {SPARSE_LONG}, {SPARSE_REL} select idx, {r('g', 'g')} from rel")
+def _(spark, d):
+    return sparse_released(spark, d)[1]
+
+
+@query("sparse_dp_sgd_step", f"with {SPARSE_G}, {SPARSE_LONG}, {SPARSE_REL} select idx, {r('case when idx < 0 then -0.3::double else 0.05::double * cos(idx::double) end - 0.5 * g', 'value')} from rel")
+def _(spark, d):
+    split, g = sparse_released(spark, d)
+    model, o = sparse_model(split), updates.Sgd(0.5)
+    got = g.toArrow()  # one row for each index
+    estimate = np.zeros(split.width + 1)
+    estimate[got.column("idx").to_numpy()] = got.column("g").to_numpy()
+    inc, _ = o.update(estimate, o.init(model.vector))
+    v = model.vector + inc
+    return spark.createDataFrame([(i if i < split.width else -1, float(x)) for i, x in enumerate(v)], "idx long, value double")
+
+
 @query("grad_norm_probe", f"with {GRADS} select {r('quantile_cont(norm, 0.5)', 'median')}, {r('quantile_cont(norm, 0.99)', 'p99')}, {r('max(norm)', 'largest')} from grads")
 def _(spark, d):
     at = order.quantiles(click_grads(spark, d), "norm", [0.5, 0.99, 1.0])
@@ -654,10 +721,8 @@ STD = f"least(0.1::double * {MOVED}, 0.5)"
 
 def varied(spark, d, now=NEXT, before=W) -> DataFrame:
     drawn = sampling.poisson_batch(click_rows(spark, d), 0.1, KEY, 1)
-    import numpy as np
-
     std = min(0.1 * float(np.linalg.norm(now.vector - before.vector)), 0.5)
-    return drawn.agg(*training.two_point_sums(drawn, LOGISTIC, now, before, XS)).select(*[(F.coalesce(f"g_{c}", F.lit(0.0)) / 1000.0 + F.lit(std) * coins.gaussian(KEY, "noise", 1, F.lit(c))).alias(f"g_{c}") for c in NAMES])
+    return drawn.agg(*stages.two_point_sums(drawn, LOGISTIC, now, before, XS)).select(*[(F.coalesce(f"g_{c}", F.lit(0.0)) / 1000.0 + F.lit(std) * coins.gaussian(KEY, "noise", 1, F.lit(c))).alias(f"g_{c}") for c in NAMES])
 
 
 @query("spider_variation", f"with {GRADS}, df as (select *, {DIFF} dr from grads where {DRAWN}) select {', '.join(r(f'coalesce(sum(dr * {c}), 0) / 1000.0::double + {STD} * {coin_noise(c)}', f'g_{c}') for c in XS)}, {r(f'coalesce(sum(dr), 0) / 1000.0::double + {STD} * {coin_noise(chr(98))}', 'g_b')} from df")
@@ -711,27 +776,119 @@ def _(spark, d):
     return rounded(as_rows(spark, v), 5)
 
 
-@query("sgd_epoch")
+# Whole training runs: in SQL each step is a link of a chain, p0, p1, ... holding the parameters.
+
+PAIRS = [*((f"w_{c}", c) for c in XS), ("w_b", "")]
+START = "p0 as (select 0.3::double w_x1, -0.7::double w_x2, 0.9::double w_x3, -0.2::double w_b)"
+N_ROWS = "(select count(*) from clicks)"
+
+
+def residual_sql(p: str = "") -> str:
+    return f"(1.0 / (1.0 + exp(-({p}w_x1 * x1 + {p}w_x2 * x2 + {p}w_x3 * x3 + {p}w_b))) - y)"
+
+
+def sums_of(k: str, suffix: str = "", where: str = "") -> str:
+    f = f" filter (where {where})" if where else ""
+    return ", ".join(f"coalesce(sum({k}{' * ' + x if x else ''}){f}, 0) g{suffix}_{w[2:]}" for w, x in PAIRS)
+
+
+def moved(t: int, estimate, rate: float, source: str) -> str:
+    return f"p{t + 1} as (select {', '.join(f'{w} - {rate}::double * ({estimate(w[2:])}) as {w}' for w, _ in PAIRS)} from p{t}, {source})"
+
+
+def final_sql(p: str) -> str:
+    return " union all ".join(f"select '{w[2:]}' as name, {r(w, 'value')} from {p}" for w, _ in PAIRS)
+
+
+def noise_sql(draw: int, c: str) -> str:
+    return sql_gaussian(KEY, "noise", str(draw), str(NAMES.index(c)))
+
+
+def epoch_sql(steps: int) -> str:
+    """Four batches an epoch, which holds from 16 rows on."""
+    out = [CLICKS, START, f"size as (select {N_ROWS} // 4 q)"]
+    for e in range(-(-steps // 4)):
+        out.append(f"e{e} as (select row_id, y, x1, x2, x3, (row_number() over (order by {sql_coin(KEY, 'epoch', str(e), 'row_id')}, row_id) - 1) // q b from clicks, size)")
+    for t in range(steps):
+        out.append(f"s{t} as (select {sums_of('r')} from (select *, {residual_sql()} r from e{t // 4}, p{t} where b = {t % 4}))")
+        out.append(moved(t, lambda c: f"g_{c} / q", 0.5, f"s{t}, size"))
+    return f"with {', '.join(out)} {final_sql(f'p{steps}')}"
+
+
+@query("sgd_epoch", epoch_sql(6))
 def _(spark, d):
     rows = click_rows(spark, d)
-    # Four or five batches an epoch, so the second one begins at any size of the table.
+    # Four batches an epoch, so the second one begins at any size of the table.
     return as_rows(spark, training.sgd_train(LOGISTIC, W, updates.Sgd(0.5), rows, XS, steps=6, batch=max(1, rows.count() // 4), key=KEY).vector)
 
 
-@query("dp_sgd_train")
+def dp_sgd_sql(steps: int, expected: int, clip: float, multiplier: float) -> str:
+    out = [CLICKS, START]
+    for t in range(steps):
+        drawn = f"{sql_coin(KEY, 'poisson', str(t), 'row_id')} < {expected}.0::double / {N_ROWS}"
+        out.append(f"r{t} as (select *, {residual_sql()} r from clicks, p{t} where {drawn})")
+        out.append(f"s{t} as (select {sums_of('kk')} from (select *, r * least(1.0, {clip}::double / (abs(r) * {NORM} + 1e-12)) kk from r{t}))")
+        out.append(moved(t, lambda c, t=t: f"(g_{c} + {multiplier * clip!r}::double * {noise_sql(t, c)}) / {expected}.0::double", 0.5, f"s{t}"))
+    return f"with {', '.join(out)} {final_sql(f'p{steps}')}"
+
+
+@query("dp_sgd_train", dp_sgd_sql(4, 200, 0.5, 1.1))
 def _(spark, d):
-    return as_rows(spark, training.dp_sgd_train(LOGISTIC, W, updates.Sgd(0.5), click_rows(spark, d), XS, steps=4, expected=200, clip=0.5, multiplier=1.1, key=KEY, noise_seed=1).vector)
+    return as_rows(spark, training.dp_sgd_train(LOGISTIC, W, updates.Sgd(0.5), click_rows(spark, d), XS, steps=4, expected=200, clip=0.5, multiplier=1.1, key=KEY, noise=stages.CoinNoise(KEY)).vector)
 
 
-@query("spider_train")
+def spider_sql(steps: int, anchor: int, variation: int) -> str:
+    """Anchors at even steps, variations at odd ones; q holds the estimate."""
+    out = [CLICKS, START]
+    for t in range(steps):
+        size = variation if t % 2 else anchor
+        drawn = f"{sql_coin(KEY, 'poisson', str(t), 'row_id')} < {size}.0::double / {N_ROWS}"
+        if t % 2 == 0:
+            out.append(f"s{t} as (select {sums_of('r')} from (select *, {residual_sql()} r from clicks, p{t} where {drawn}))")
+            out.append(f"q{t} as (select {', '.join(f'g_{c} / {size}.0::double + 0.01::double * {noise_sql(t, c)} as e_{c}' for c in NAMES)} from s{t})")
+        else:
+            dist = " + ".join(f"(a.{w} - b.{w}) * (a.{w} - b.{w})" for w, _ in PAIRS)
+            out.append(f"d{t} as (select least(0.1::double * sqrt({dist}), 0.5) std from p{t} a, p{t - 1} b)")
+            out.append(f"s{t} as (select {sums_of('r')} from (select x1, x2, x3, {residual_sql('a.')} - {residual_sql('b.')} r from clicks, p{t} a, p{t - 1} b where {drawn}))")
+            out.append(f"q{t} as (select {', '.join(f'e_{c} + g_{c} / {size}.0::double + std * {noise_sql(t, c)} as e_{c}' for c in NAMES)} from q{t - 1}, s{t}, d{t})")
+        out.append(moved(t, lambda c: f"e_{c}", 0.5, f"q{t}"))
+    return f"with {', '.join(out)} {final_sql(f'p{training.spider_choice(steps, 0)}')}"
+
+
+@query("spider_train", spider_sql(4, 400, 200))
 def _(spark, d):
-    out, _ = training.spider_train(LOGISTIC, W, updates.Sgd(0.5), click_rows(spark, d), XS, steps=4, interval=2, anchor=400, variation=200, scales=accounting.NoiseScales(0.01, 0.1, 0.5), key=KEY, noise_seed=1)
+    out, _ = training.spider_train(LOGISTIC, W, updates.Sgd(0.5), click_rows(spark, d), XS, steps=4, interval=2, anchor=400, variation=200, scales=accounting.NoiseScales(0.01, 0.1, 0.5), key=KEY, noise=stages.CoinNoise(KEY))
     return as_rows(spark, out.vector)
 
 
-@query("bias_reduced_train")
-def _(spark, d):
-    return as_rows(spark, training.bias_reduced_train(LOGISTIC, W, updates.Sgd(0.01), click_rows(spark, d), XS, max_steps=3, epsilon=1.0, delta=1e-3, clip=0.5, radius=1.0, key=KEY, noise_seed=1, top=6).average.vector)
+def bias_reduced_sql(steps: int, top: int, clip: float, radius: float, epsilon: float, delta: float, rate: float) -> str:
+    """Steps of scales that the run's seed draws; every one of them is permitted."""
+    rng, chances, z = np.random.default_rng(0), sampling.dyadic_probabilities(top), accounting.inner_multiplier(epsilon, delta)
+    out = [CLICKS, START]
+    for t in range(steps):
+        scale = sampling.dyadic_scale(top, rng.random())
+        rng.random()  # the reservoir's draw
+        size = 2 ** (scale + 1)
+        out.append(f"c{t} as (select *, r * least(1.0, {clip}::double / (abs(r) * {NORM} + 1e-12)) kk from (select *, {residual_sql()} r from clicks, p{t}))")
+        out.append(f"n{t} as (select *, row_number() over (order by {sql_coin(KEY, 'dyadic', str(t), 'row_id')}, row_id) n, row_number() over (order by {sql_coin(KEY, 'single', str(t), 'row_id')}, row_id) o from c{t})")
+        parts = [("whole", f"n <= {size}", size), ("odd", f"n <= {size // 2}", size // 2), ("even", f"n > {size // 2} and n <= {size}", size // 2), ("single", "o = 1", 1)]
+        rows = [f"select '{p}' part, {i} i, sum(kk{' * ' + x if x else ''}) filter (where {where}) / {k}.0::double + {z * 2 * clip / k!r}::double * {noise_sql(4 * t + j, w[2:])} as value from n{t}" for j, (p, where, k) in enumerate(parts) for i, (w, x) in enumerate(PAIRS)]
+        out.append(f"m{t} as ({' union all '.join(rows)})")
+        project = projection_sql(f"m{t}", "part", f"{radius}::double")
+        for name in ("projected", "pk", "pr", "pt"):
+            project = project.replace(f"{name} as", f"{name}{t} as").replace(f"from {name}", f"from {name}{t}")
+        out.append(project)
+        one = lambda p, c: f"max(v) filter (where part = '{p}' and i = {NAMES.index(c)})"
+        out.append(f"s{t} as (select {', '.join(f'({one("whole", c)} - ({one("odd", c)} + {one("even", c)}) / 2) / {chances[scale]!r}::double + {one("single", c)} as g_{c}' for c in NAMES)} from projected{t})")
+        out.append(moved(t, lambda c: f"g_{c}", rate, f"s{t}"))
+    mean = ", ".join(f"({' + '.join(f'p{t}.{w}' for t in range(steps + 1))}) / {steps + 1}.0::double as {w}" for w, _ in PAIRS)
+    out.append(f"average as (select {mean} from {', '.join(f'p{t}' for t in range(steps + 1))})")
+    return f"with {', '.join(out)} {final_sql('average')}"
+
+
+@query("bias_reduced_train", bias_reduced_sql(3, 6, 0.5, 1.0, 1.0, 1e-3, 0.01))
+def _(spark, d):
+    return as_rows(spark, training.bias_reduced_train(LOGISTIC, W, updates.Sgd(0.01), click_rows(spark, d), XS, max_steps=3, epsilon=1.0, delta=1e-3, clip=0.5, radius=1.0, key=KEY, noise=stages.CoinNoise(KEY), top=6).average.vector)
 
 
 # --- accounting as queries -----------------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ import threading
 import urllib.request
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,21 +23,27 @@ NUMERIC, CATEGORICAL = ("value", "hour", "k"), ("user_id",)
 
 
 def scan(spark: SparkSession, path: str, columns: list[str], schema: T.StructType | None = None) -> DataFrame:
-    """Only the named columns; a local path that is missing is an error at once, as is a column that is not there."""
+    """Only the named columns; a path that is missing in any store is an error at once, as is a column that is not there."""
     if "://" not in path and not os.path.exists(path):
         raise FileNotFoundError(path)
     read = spark.read if schema is None else spark.read.schema(schema)
-    return read.parquet(path).select(*columns)
+    try:
+        return read.parquet(path).select(*columns)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from e
+        raise
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features and label of order lines."""
-    t = scan(spark, f"{sf_dir}/lineitem.parquet", ["l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_returnflag"])
-    return t.select((F.col("l_quantity") / 50.0).alias("x1"), F.col("l_discount").alias("x2"), F.col("l_tax").alias("x3"), (F.col("l_extendedprice") / 100000.0).alias("x4"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+def lines(spark: SparkSession, sf_dir: str, row: bool = False) -> DataFrame:
+    """Features and label of order lines, with row_id where asked for."""
+    t = scan(spark, f"{sf_dir}/lineitem.parquet", [*["l_orderkey", "l_linenumber"] * row, "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_returnflag"])
+    return t.select(*[(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id")] * row, (F.col("l_quantity") / 50.0).alias("x1"), F.col("l_discount").alias("x2"), F.col("l_tax").alias("x3"), (F.col("l_extendedprice") / 100000.0).alias("x4"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
 
 
-def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).select(stages.sigmoid(stages.logit(LINE_MODEL, LINE_FEATURES)).alias("p"), "y")
+def scored_lines(spark: SparkSession, sf_dir: str, row: bool = False) -> DataFrame:
+    """p and y, with row_id where asked for."""
+    return lines(spark, sf_dir, row).select(*["row_id"] * row, stages.sigmoid(stages.logit(LINE_MODEL, LINE_FEATURES)).alias("p"), "y")
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +65,9 @@ def scored_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_dir(sub: str = "") -> Path:
-    """HUSHGRAD_CACHE or the user's cache folder; made where missing."""
-    base = os.environ.get("HUSHGRAD_CACHE") or os.environ.get("XDG_CACHE_HOME") or Path.home() / ".cache"
+    """HUSHGRAD_CACHE or the user's cache folder on this system; made where missing."""
+    usual = {"darwin": Path.home() / "Library" / "Caches", "win32": os.environ.get("LOCALAPPDATA") or Path.home() / "AppData" / "Local"}
+    base = os.environ.get("HUSHGRAD_CACHE") or usual.get(sys.platform) or os.environ.get("XDG_CACHE_HOME") or Path.home() / ".cache"
     out = Path(base).expanduser().resolve() / "hushgrad" / sub
     out.mkdir(parents=True, exist_ok=True)
     return out
