@@ -96,9 +96,13 @@ def turns_of(formatted: str) -> Iterator[tuple[str, str]]:
         yield unescaped(role), unescaped(text)
 
 
+#: Before the first conversation; None is the one of rows without conv_id.
+_NONE = object()
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[tuple[int, int, Piece]]:
     """Pieces of sorted turns, each of one conversation."""
-    now, k, turns, size = None, 0, [], 0
+    now, k, turns, size = _NONE, 0, [], 0
     for batch in batches:
         for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if turns and (conv != now or size >= PIECE):
@@ -114,12 +118,17 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator
 
 def _sorted(conversations: DataFrame) -> DataFrame:
     small_batches(conversations.sparkSession)
-    rows = conversations.select("conv_id", "turn", "role", "text").where(F.col("conv_id").isNotNull())
+    rows = conversations.select("conv_id", "turn", "role", "text")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text").select("conv_id", "role", "text")
 
 
 def formatted(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Pieces of formatted conversations with token ids, offsets and loss mask, in order of turns."""
+    """Pieces of formatted conversations with token ids, offsets and loss mask, in order of turns.
+
+    A conversation of up to PIECE characters is one piece, rendered whole and encoded once. A longer one comes in pieces
+    cut between turns: control strings stand there, at which the encoding parts anyway, so ids and masks are those of
+    the whole. Nulls, repeats, empty tables and other columns are as for digests().
+    """
     path = tokenizer_path(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,18 +152,19 @@ class _Digest:
 def digests(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """What reading back gives for each conversation: turns, text under the loss, size of the formatted text.
 
-    Null roles and texts count as empty; rows without conv_id are left out; turns of equal number follow by role and
-    text, those without number come first; repeated rows are turns each. An empty table gives no rows. Other columns
-    are not read.
+    Null roles and texts count as empty; rows without conv_id are one conversation of their own; turns of equal number
+    follow by role and text, those without number come first; repeated rows are turns each. An empty table gives no
+    rows. Other columns are not read. The turns of one conversation are digested in order by one task, in pieces of
+    bounded size, since a digest has an order.
     """
     path = tokenizer_path(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        now, d = None, _Digest()
+        now, d = _NONE, _Digest()
 
         def close():
-            if now is not None:
+            if now is not _NONE:
                 rows.append((now, d.turns, d.of_turns.hexdigest(), d.loss, d.of_loss.hexdigest(), d.chars))
 
         def batch():

@@ -144,12 +144,23 @@ def propagated(groups: DataFrame, room: list[int]) -> list[DataFrame]:
     return [*done, spark.createDataFrame(list(rest.items()), _LABELS)]
 
 
+def cut(placed: DataFrame) -> DataFrame:
+    """How well rows of sharded() keep together: groups of equal texts, those in several shards, links and cut links.
+
+    A group of n rows has n - 1 links, of which one less than its shards are cut. Texts count as equal by size and CRC.
+    """
+    by = placed.groupBy("size", "text_crc32", "shard").agg(F.count("*").alias("n")).groupBy("size", "text_crc32").agg(F.count("*").alias("parts"), F.sum("n").alias("n")).where("n > 1")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return by.agg(F.count("*").alias("groups"), F.count_if(F.col("parts") > 1).alias("split"), zero(F.sum(F.col("n") - 1)).alias("links"), zero(F.sum(F.col("parts") - 1)).alias("cut"))
+
+
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row.
 
     A null text counts as empty and belongs to the group of empty texts: size 8, CRC 0. Groups larger than a shard are
     spread over as few shards as the quotas allow. Rows that repeat a document get places each; a null doc_id is an
-    id like others. An empty table gives no rows; other columns are not read.
+    id like others. An empty table gives no rows; other columns are not read. Of a very long text only the size, CRC
+    and digest are kept. cut() says how many links of the result are cut.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     slim = saved(docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("key")), "slim")

@@ -101,3 +101,73 @@ def test_ranks_in_salted_groups(spark, monkeypatch):
     rows = packing.packed(docs, capacity=32).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == 200
     assert len({r.sequence_id for r in rows}) == -(-200 // (32 // rows[0].length))
+
+
+def fewest_sequences(pieces, capacity):
+    """Exact bin packing by trying everything; for a few pieces."""
+    pieces = sorted(pieces, reverse=True)
+    best = len(pieces)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= pieces[i]:
+                rest = list(rooms)
+                rest.remove(r)
+                put(i + 1, (*rest, r - pieces[i]))
+        put(i + 1, (*rooms, capacity - pieces[i]))
+
+    put(0, ())
+    return best
+
+
+@pytest.mark.parametrize("few", [1500, 0])
+def test_tiny_packings_are_near_the_optimum(monkeypatch, few):
+    monkeypatch.setattr(packing, "FEW", few)
+    rng, over = np.random.default_rng(2), 0
+    for _ in range(40):
+        capacity = int(rng.integers(8, 20))
+        pieces = rng.integers(1, capacity + 1, rng.integers(1, 10)).tolist()
+        n = sum(k for _, k in packing.configurations(np.bincount(pieces, minlength=capacity + 1), capacity))
+        best = fewest_sequences(pieces, capacity)
+        assert best <= n <= best + 1
+        over += n - best
+    assert over <= 2
+
+
+@pytest.mark.parametrize("lengths", [20, 200, 500, 530, 900])
+@pytest.mark.parametrize("total", [1000, 2500, 20_000])
+def test_sequences_are_near_their_lower_bound_on_both_sides_of_the_switches(lengths, total):
+    """Few and many lengths (SPARSE), and leftovers below and above what best fit takes at once (FEW)."""
+    rng, capacity = np.random.default_rng(lengths + total), 1024
+    chosen = rng.choice(np.arange(1, capacity), lengths, replace=False)
+    counts = np.bincount(rng.choice(chosen, total, p=(w := 1 / chosen) / w.sum()), minlength=capacity + 1)
+    n = sum(k for _, k in packing.configurations(counts, capacity))
+    assert n <= 1.035 * lower_bound(counts, capacity) + 2
+
+
+def test_best_fit_of_few_pieces_is_as_good_as_the_program(monkeypatch):
+    rng, capacity = np.random.default_rng(1200), 1024
+    chosen = rng.choice(np.arange(1, capacity), 200, replace=False)
+    counts = np.bincount(rng.choice(chosen, 1000, p=(w := 1 / chosen) / w.sum()), minlength=capacity + 1)
+    found = []
+    for few in (1500, 200):
+        monkeypatch.setattr(packing, "FEW", few)
+        found.append(sum(k for _, k in packing.configurations(counts, capacity)))
+    assert abs(found[0] - found[1]) <= 1
+
+
+def lower_bound(counts, capacity):
+    """Sequences that large pieces need, and what smaller ones need beside them (Martello and Toth's second bound)."""
+    x, best = np.arange(capacity + 1), 0
+    for k in range(1, capacity // 2 + 1):
+        huge, large, small = x > capacity - k, (x > capacity // 2) & (x <= capacity - k), (x >= k) & (x <= capacity // 2)
+        n = int(counts[huge].sum() + counts[large].sum())
+        over = int((counts * x)[small].sum()) - (int(counts[large].sum()) * capacity - int((counts * x)[large].sum()))
+        best = max(best, n + max(0, -(-over // capacity)))
+    return best

@@ -1,3 +1,5 @@
+import functools
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -66,3 +68,46 @@ def test_admission_counts_what_leaves():
     assert sharding.admitted(wants, np.array([0, 0])).tolist() == [1, 1]
     wants[0, 2, 2] = 6  # from outside, which opens no shard
     assert sharding.admitted(wants, np.array([0, 0])).tolist() == [3, 3]
+
+
+def fewest_cuts(sizes, shards):
+    """The least sum of parts - 1 over groups, by trying every way to deal out the groups; the rest are single rows."""
+    total = sum(sizes)
+    room = tuple(total // shards + (s < total % shards) for s in range(shards))
+
+    @functools.cache
+    def best(i, room):
+        if i == len(groups):
+            return 0  # single rows fill up what is left
+        out = 10**9
+
+        def deal(s, left, now, parts):
+            nonlocal out
+            if left == 0:
+                out = min(out, parts - 1 + best(i + 1, tuple(sorted(now))))
+            elif s < shards:
+                for n in range(min(left, now[s]), -1, -1):
+                    deal(s + 1, left - n, (*now[:s], now[s] - n, *now[s + 1 :]), parts + (n > 0))
+
+        deal(0, groups[i], room, 0)
+        return out
+
+    groups = sorted((x for x in sizes if x > 1), reverse=True)
+    return best(0, tuple(sorted(room)))
+
+
+def test_cut_links_are_near_the_optimum_on_tiny_graphs(spark, monkeypatch):
+    rng = random.Random(3)
+    cases = [([3, 3, 3], 3), ([2, 2, 2, 1, 1, 1], 3), ([4, 4, 1], 3), ([5, 2, 2], 3), ([2] * 6, 4), ([7], 3)]
+    cases += [([rng.choice([1, 1, 2, 3, 4]) for _ in range(rng.randint(3, 7))], rng.choice([2, 3])) for _ in range(6)]
+    ours = least = 0
+    for sizes, shards in cases:
+        texts = [f"g{i}" for i, n in enumerate(sizes) for _ in range(n)]
+        placed = sharding.sharded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), shards)
+        where = check(placed.collect(), texts, shards)
+        got, best = sum(len(w) - 1 for w in where.values()), fewest_cuts(sizes, shards)
+        c = sharding.cut(placed).first()
+        assert (c.cut, c.links, c.groups) == (got, sum(n - 1 for n in sizes), sum(n > 1 for n in sizes))
+        assert got <= best + 1, (sizes, shards, got, best)
+        ours, least = ours + got, least + best
+    assert ours <= least + 2, (ours, least)
