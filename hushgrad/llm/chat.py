@@ -100,12 +100,12 @@ def turns_of(formatted: str) -> Iterator[tuple[str, str]]:
 _NONE = object()
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[tuple[int, int, Piece]]:
+def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer, most: int) -> Iterator[tuple[int, int, Piece]]:
     """Pieces of sorted turns, each of one conversation."""
     now, k, turns, size = _NONE, 0, [], 0
     for batch in batches:
         for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if turns and (conv != now or size >= PIECE):
+            if turns and (conv != now or size >= most):
                 yield now, k, rendered(turns, tokenizer)
                 k, turns, size = k + 1, [], 0
             if conv != now:
@@ -129,12 +129,12 @@ def formatted(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFra
     cut between turns: control strings stand there, at which the encoding parts anyway, so ids and masks are those of
     the whole. Nulls, repeats, empty tables and other columns are as for digests().
     """
-    path = tokenizer_path(vocabulary)
+    path, most = tokenizer_path(vocabulary), PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for conv, k, p in _pieces(batches, chat_tokenizer(path)):
+        for conv, k, p in _pieces(batches, chat_tokenizer(path), most):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([conv]), pa.array([k], pa.int32()), pa.array([p.formatted]), pa.array([p.ids], pa.list_(pa.int32())), pa.array([p.mask.tolist()], pa.list_(pa.bool_())), pa.array([p.starts.tolist()], pa.list_(pa.int32())), pa.array([p.ends.tolist()], pa.list_(pa.int32()))], names=FORMATTED.names,
+                [pa.array([conv], pa.int64()), pa.array([k], pa.int32()), pa.array([p.formatted]), pa.array([p.ids], pa.list_(pa.int32())), pa.array([p.mask.tolist()], pa.list_(pa.bool_())), pa.array([p.starts.tolist()], pa.list_(pa.int32())), pa.array([p.ends.tolist()], pa.list_(pa.int32()))], names=FORMATTED.names,
             )
 
     return _sorted(conversations).mapInArrow(run, FORMATTED)
@@ -157,7 +157,7 @@ def digests(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     rows. Other columns are not read. The turns of one conversation are digested in order by one task, in pieces of
     bounded size, since a digest has an order.
     """
-    path = tokenizer_path(vocabulary)
+    path, most = tokenizer_path(vocabulary), PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -172,7 +172,7 @@ def digests(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
             rows.clear()
             return out
 
-        for conv, _, p in _pieces(batches, chat_tokenizer(path)):
+        for conv, _, p in _pieces(batches, chat_tokenizer(path), most):
             if conv != now:
                 close()
                 now, d = conv, _Digest()

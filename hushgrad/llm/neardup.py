@@ -29,7 +29,7 @@ from .components import components
 #: Links need 100 * intersection >= PERCENT * union. Estimates under SURE are no links (they stray by 0.04 at 0.75).
 PERCENT, SURE = 75, 0.55
 #: Nodes of a band from which on its pairs are found by rare shingles instead of one by one; no pair is lost.
-LARGE = 48
+LARGE = 16
 #: Nodes with one shingle that one task compares with others, about.
 SPLIT = 1000
 #: Bits of the map of documents whose texts a join needs (2 MB).
@@ -118,11 +118,12 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = saved(classes, "classes")  # numbered once and for all
     links, used = _links(texts, classes)
     group = components(links)
-    owned = saved(classes.select("node", "set_key", "unnamed", "doc_id", "text_key").join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "owned")
+    owned = classes.select("node", "set_key", "unnamed", "doc_id", "text_key").join(group, "node", "left").withColumn("component", F.coalesce("component", "node")).persist()
     least = owned.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "text_key", "node")).alias("l")).select("component", F.col("l.doc_id").alias("component_id"), F.col("l.node").alias("stayer"))
     named = joined(owned, least, "component").select("set_key", "component_id", (F.col("node") == F.col("stayer")).alias("stays"), "unnamed", F.coalesce("doc_id", F.lit(0)).alias("key"), "text_key")
     named = saved(named, "named")
-    dropped(*used, group, owned, classes)
+    owned.unpersist()
+    dropped(*used, group, classes)
     return made, named
 
 
@@ -158,14 +159,15 @@ def _links(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFr
     x, y = open_.where(F.col("held") <= LARGE).alias("x"), open_.where(F.col("held") <= LARGE).alias("y")
     small = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _near_sizes("x.n_shingles", "y.n_shingles"))
     pairs, used = small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), []
-    rest = saved(open_.where(F.col("held") > LARGE).select("node", "component").distinct(), "rest")
+    rest = open_.where(F.col("held") > LARGE).select("node", "component").distinct().persist()
     if not rest.isEmpty():
         some = _texts(texts, classes, rest.select("node"))
         sharing, used = _sharing(some, rest)
         pairs = pairs.union(sharing)
         dropped(some)
     more = confirmed(pairs.distinct().join(star, ["a", "b"], "left_anti"))
-    dropped(open_, rest, star, *used)
+    rest.unpersist()
+    dropped(open_, star, *used)
     return links.union(more), [links, more]
 
 
@@ -192,7 +194,7 @@ def _texts(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     spark = texts.sparkSession
     chosen = classes.join(nodes, "node", "left_semi").select("node", "unnamed", F.coalesce("doc_id", F.lit(0)).alias("key"), "text_key")
-    chosen = saved(chosen, "chosen")
+    chosen = chosen.persist()
     words = chosen.select(F.pmod("key", F.lit(BITS)).alias("h")).groupBy(F.floor(F.col("h") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(BITS // 32, np.uint32)
     bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
@@ -209,7 +211,7 @@ def _texts(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     some = keyed.mapInArrow(run, keyed.schema).withColumn("text_key", _text_key())
     keys = ["unnamed", "key", "text_key"]
     out = saved(some.dropDuplicates(keys).join(chosen, keys).select("node", "text"), "texts")
-    dropped(chosen)
+    chosen.unpersist()
     sent.destroy()
     return out
 

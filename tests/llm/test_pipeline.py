@@ -58,3 +58,18 @@ def test_stage_names_and_columns(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "packing"]
     for _, stage in corpus_pipeline.STAGES[2:4]:
         assert stage(spark, docs, str(tmp_path)).schema == docs.schema
+
+
+def test_an_empty_table_and_clashing_columns(spark, tmp_path):
+    tables(tmp_path / "a", spark)
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    (tmp_path / "b").mkdir()
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/a/{name}.parquet").write.parquet(f"{tmp_path}/b/{name}.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+    extra = docs.where("doc_id % 40 < 2").withColumnsRenamed({"lang": "node", "source": "spans"}).selectExpr("*", "1 as score", "2 as component_id", "'k' as text_key", "3 as y", "4 as row")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, extra, f"{tmp_path}/a")
+        assert out.columns == extra.columns and 0 < out.count() <= extra.count()
+        assert {(r.score, r.component_id, r.text_key, r.y, r.row) for r in out.collect()} == {(1, 2, "k", 3, 4)}
