@@ -116,19 +116,18 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "n_shingles", "registers")).alias("r")
     classes = made.where("n_shingles > 0").groupBy("set_key").agg(first).select(F.monotonically_increasing_id().alias("node"), "set_key", "r.*")
     classes = saved(classes, "classes")  # numbered once and for all
-    links, used = _links(texts, classes)
-    group = components(links)
+    group, used = _linked(texts, classes)
     owned = classes.select("node", "set_key", "unnamed", "doc_id", "text_key").join(group, "node", "left").withColumn("component", F.coalesce("component", "node")).persist()
     least = owned.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "text_key", "node")).alias("l")).select("component", F.col("l.doc_id").alias("component_id"), F.col("l.node").alias("stayer"))
     named = joined(owned, least, "component").select("set_key", "component_id", (F.col("node") == F.col("stayer")).alias("stays"), "unnamed", F.coalesce("doc_id", F.lit(0)).alias("key"), "text_key")
     named = saved(named, "named")
     owned.unpersist()
-    dropped(*used, group, classes)
+    dropped(*used, classes)
     return made, named
 
 
-def _links(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Links (a, b) between nodes, whose components are those of all links, and the tables that they lie in."""
+def _linked(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, component) of every node with links, and the tables that this lies in."""
     sets = classes.select("node", "n_shingles", "registers")
     key = lambda i: F.xxhash64(i, F.substring("registers", i * sketches.ROWS + 1, sketches.ROWS))
     banded = sets.select("node", "n_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.lit(sketches.BANDS - 1)), key)).alias("band"))
@@ -148,14 +147,16 @@ def _links(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFr
     near = near.where((F.col("node") != F.col("c")) & _near_sizes("n", "n_shingles"))
     star = saved(near.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct(), "pairs")
     links = confirmed(star)
-    live = members.join(_nearby(links), "node", "left").select("band", "node", "n_shingles", "held", F.coalesce("component", "node").alias("component"))
+    known = components(links)
+    dropped(links)
+    live = members.join(known, "node", "left").select("band", "node", "n_shingles", "held", F.coalesce("component", "node").alias("component"))
     live = saved(live, "live")
     dropped(members)
     mixed = live.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
     open_ = saved(joined(live, mixed, "band", "left_semi"), "open")
     dropped(live)
     if open_.isEmpty():
-        return links, [links, star, open_]
+        return known, [known, star, open_]
     x, y = open_.where(F.col("held") <= LARGE).alias("x"), open_.where(F.col("held") <= LARGE).alias("y")
     small = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _near_sizes("x.n_shingles", "y.n_shingles"))
     pairs, used = small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), []
@@ -168,14 +169,16 @@ def _links(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFr
     more = confirmed(pairs.distinct().join(star, ["a", "b"], "left_anti"))
     rest.unpersist()
     dropped(open_, star, *used)
-    return links.union(more), [links, more]
-
-
-def _nearby(links: DataFrame) -> DataFrame:
-    """(node, component) with the smallest node within two links: part of a component, which is all that pruning needs."""
-    both = links.union(links.select("b", "a"))
-    one = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("component"))
-    return joined(both, one, "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
+    # What is new links components that are known, so only those are contracted again.
+    own = known.select(F.col("node").alias("a"), F.col("component").alias("low"))
+    new = more.join(own, "a", "left").select(F.coalesce("low", "a").alias("a"), "b")
+    new = new.join(own.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("low", "b").alias("b"))
+    upper = components(new)
+    dropped(more)
+    top = upper.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    both = known.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    fresh = upper.join(known, "node", "left_anti")
+    return both.union(fresh), [known, upper]
 
 
 def _near_sizes(a: str, b: str):
