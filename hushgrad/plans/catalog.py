@@ -169,27 +169,27 @@ w as (select *, found / k::double pr, found / pos re from walk)"""
 
 @query("ranked_walk", f"with {CLICKS}, {WALK} select k, row_id, {r('score', 'score')}, hit::bigint hit, found, {r('pr', 'precision')}, {r('re', 'recall')} from w")
 def _(spark, d):
-    return metrics.ranked_walk(tables.scored_clicks(spark, d))
+    return metrics.ranked_walk(tables.ranked_clicks(spark, d))
 
 
 @query("pr_curve", f"with {CLICKS}, {WALK} select k, {r('score', 'score')}, {r('pr', 'precision')}, {r('re', 'recall')} from w")
 def _(spark, d):
-    return metrics.pr_curve(tables.scored_clicks(spark, d))
+    return metrics.pr_curve(tables.ranked_clicks(spark, d))
 
 
 @query("curve_stride", f"with {CLICKS}, {WALK} select k, {r('score', 'score')}, {r('pr', 'precision')}, {r('re', 'recall')} from w where k % 50 = 0")
 def _(spark, d):
-    return metrics.pr_curve(tables.scored_clicks(spark, d)).where(F.pmod("k", F.lit(50)) == 0)
+    return metrics.pr_curve(tables.ranked_clicks(spark, d)).where(F.pmod("k", F.lit(50)) == 0)
 
 
 @query("average_precision", f"with {CLICKS}, {WALK} select {r('sum(pr * hit) / sum(hit)', 'average_precision')} from w")
 def _(spark, d):
-    return metrics.average_precision(tables.scored_clicks(spark, d))
+    return metrics.average_precision(tables.ranked_clicks(spark, d))
 
 
 @query("best_f1", f"with {CLICKS}, {WALK} select {r('score', 'threshold')}, {r('2 * pr * re / greatest(pr + re, 1e-12)', 'f1')}, {r('pr', 'precision')}, {r('re', 'recall')} from w order by 2 * pr * re / greatest(pr + re, 1e-12) desc, k limit 1")
 def _(spark, d):
-    return metrics.best_f1(tables.scored_clicks(spark, d))
+    return metrics.best_f1(tables.ranked_clicks(spark, d))
 
 
 LINE_WALK = """walk as (select row_number() over o k, p score, y hit, (sum(y) over (o rows unbounded preceding))::bigint found, (sum(y) over ())::double pos from (select l_orderkey * 8 + l_linenumber row_id, p, y from lineitem, lateral (select %s p, (l_returnflag = 'R')::int y)) window o as (order by p desc, row_id)),

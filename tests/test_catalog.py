@@ -51,3 +51,27 @@ def test_sgd_epoch_goes_through_the_whole_table(spark, monkeypatch):
     first = [i for b in seen[: n // len(seen[0])] for i in b]
     assert len(first) == len(set(first)) > n - len(seen[0])
     assert sum(map(len, seen)) > n
+
+
+@pytest.mark.parametrize("name", ["ranked_walk", "pr_curve"])
+def test_scores_that_only_rounding_tells_apart_are_ranked_as_in_sql(spark, tmp_path, name):
+    # Nine hours more and fifty more in k leave the score as it is, but for its last bits.
+    pairs = [(7.31 * i, h, k) for i in range(1, 21) for h in (0, 5, 14) for k in (3, 28)]
+    rows = [(v, h + 9 * j, k + 50 * j) for a in range(4) for v, h, k in pairs for j in ((0, 1) if a % 2 else (1, 0))]
+    duck = duckdb.connect()
+    duck.execute("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
+    duck.executemany("insert into events values (?, ?, 1, ?, ?, ?)", [(i, f"2024-01-01 {h:02}:00:00", "click" if i % 3 else "view", v, f'{{"k": {k}}}') for i, (v, h, k) in enumerate(rows)])
+    duck.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    want = duck.execute(f"select {', '.join(df.columns)} from ({catalog.SQL[name]}) order by k").fetchall()
+    got = df.orderBy("k").collect()
+    assert len(got) == len(want) and all(same(a, b) for g, w in zip(got, want, strict=True) for a, b in zip(g, w, strict=True))
+
+
+def test_scores_for_rankings_are_those_of_clicks(spark, tmp_path):
+    odd = [(0, None, "{}"), (1, -1.0, '{"k": 3}'), (2, -5.0, '{"k": 3}'), (3, float("nan"), '{"k": 3}'), (4, 1e300, '{"k": 3}'), (5, 0.0, '{"k": -900000}'), (6, 0.0, '{"k": 900000}'), (7, 2.0, None)]
+    rows = spark.createDataFrame(odd, "event_id long, value double, props string").selectExpr("*", "timestamp'2024-01-01 10:00:00' ts", "1L user_id", "'click' event_type")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.row_id: r.p for r in catalog.tables.ranked_clicks(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({r.row_id: r.p for r in catalog.tables.scored_clicks(spark, str(tmp_path)).collect()}, nan_ok=True)
+    assert got[1] is got[2] is None and got[5] == 0 and got[6] == 1
