@@ -17,7 +17,7 @@ WORD_BUCKETS, STEM_BUCKETS, STEM, SIZE, WIDTHS, FILTERS = 1 << 15, 1 << 13, 4, 1
 #: Words that are scored at once; longer texts are scored in parts that overlap by all but one word of the widest
 #: filter, so that each place of a filter lies in exactly one part.
 CHUNK = 1 << 15
-#: Passes over the sample, texts in a step, step size.
+#: Passes over the labelled texts, texts in a step, step size.
 EPOCHS, BATCH, RATE = 8, 48, 0.004
 
 _TO_SPACE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -138,54 +138,96 @@ def logits(net: Net, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def trained(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Net:
+def peaks(net: Net, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each width, the place of every filter's largest value over each text, and that value; CHUNK places at once."""
+    gap = WIDTHS[-1] - 1
+    where = [np.zeros((len(starts), FILTERS), np.int64) for _ in WIDTHS]
+    top = [np.full((len(starts), FILTERS), -np.inf, np.float32) for _ in WIDTHS]
+    for a in range(0, int(ends[-1]), CHUNK):
+        piece = flat[a : a + CHUNK + gap]
+        x = net.vectors(piece)
+        x[piece < 0] = 0
+        inside = np.flatnonzero((starts < a + CHUNK) & (ends > a))
+        for v, w, t in zip(net.slid(x), where, top, strict=True):
+            for i in inside:
+                s, e = max(starts[i], a) - a, min(ends[i] - a, CHUNK)
+                at = v[:, s:e].argmax(axis=1)
+                high = v[np.arange(FILTERS), s + at]
+                better = high > t[i]
+                w[i, better], t[i, better] = (a + s + at)[better], high[better]
+    return where, top
+
+
+class Training:
     """Adam on the logistic loss; embedding rows are updated only where a maximum lies."""
-    net, rng = Net.new(seed), np.random.default_rng(seed)
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    dense = [*net.filters, net.bias, net.out, net.out_bias]
-    first, second = [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense]
-    seen = {"word": np.zeros(WORD_BUCKETS, np.float32), "stem": np.zeros(STEM_BUCKETS, np.float32)}
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for k in range(0, len(order), BATCH):
-            batch = order[k : k + BATCH]
-            flat, starts, ends = _laid_out([texts[i] for i in batch])
-            x = net.vectors(flat)
-            x[flat < 0] = 0
-            where, top = [], []
-            for v in net.slid(x):
-                at = np.stack([s + v[:, s:e].argmax(axis=1) for s, e in zip(starts, ends, strict=True)])
-                where.append(at)
-                top.append(v[np.arange(FILTERS), at])
-            h = np.concatenate(top, axis=1) + net.bias
-            a = np.maximum(h, 0)
-            p = 1 / (1 + np.exp(-(a @ net.out + net.out_bias[0])))
-            g = ((p - y[batch]) * weight[batch] / len(batch)).astype(np.float32)
-            dh = np.outer(g, net.out) * (h > 0)
-            grads: list[np.ndarray] = []
-            rows, deltas = [], []
-            for j, w in enumerate(WIDTHS):
-                d = dh[:, j * FILTERS : (j + 1) * FILTERS]
-                filt = net.filters[j].reshape(w, SIZE, FILTERS)
-                gw = np.zeros_like(filt)
-                for i in range(w):
-                    gw[i] = np.einsum("bfs,bf->sf", x[where[j] + i], d)
-                    rows.append((where[j] + i).ravel())
-                    deltas.append((d[:, :, None] * filt[i].T[None]).reshape(-1, SIZE))
-                grads.append(gw.reshape(w * SIZE, FILTERS))
-            grads += [dh.sum(axis=0), a.T @ g, np.array([g.sum()], np.float32)]
-            step += 1
-            for q, gr, m, s in zip(dense, grads, first, second, strict=True):
-                m += 0.1 * (gr - m)
-                s += 0.001 * (gr * gr - s)
-                q -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-7)
-            code, delta = flat[np.concatenate(rows)], np.concatenate(deltas)
-            real = code >= 0
-            for name, table, bucket in (("word", net.word, code & (WORD_BUCKETS - 1)), ("stem", net.stem, (code >> 15) & (STEM_BUCKETS - 1))):
-                ids, inverse = np.unique(bucket[real], return_inverse=True)
-                total = np.zeros((len(ids), SIZE), np.float32)
-                np.add.at(total, inverse, delta[real])
-                seen[name][ids] += (total * total).mean(axis=1)
-                table[ids] -= 0.05 * total / (np.sqrt(seen[name][ids])[:, None] + 1e-6)
-    return net
+
+    def __init__(self, seed: int = 11):
+        self.net, self.steps = Net.new(seed), 0
+        self.first, self.second = ([np.zeros_like(p) for p in self.dense()] for _ in range(2))
+        self.seen = {"word": np.zeros(WORD_BUCKETS, np.float32), "stem": np.zeros(STEM_BUCKETS, np.float32)}
+
+    def dense(self) -> list[np.ndarray]:
+        return [*self.net.filters, self.net.bias, self.net.out, self.net.out_bias]
+
+    def step(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:
+        net = self.net
+        flat, starts, ends = _laid_out(texts)
+        where, top = peaks(net, flat, starts, ends)
+        h = np.concatenate(top, axis=1) + net.bias
+        a = np.maximum(h, 0)
+        p = 1 / (1 + np.exp(-np.clip(a @ net.out + net.out_bias[0], -80, 80)))
+        g = ((p - y) * weight / len(texts)).astype(np.float32)
+        dh = np.outer(g, net.out) * (h > 0)
+        grads: list[np.ndarray] = []
+        rows, deltas = [], []
+        for j, w in enumerate(WIDTHS):
+            d = dh[:, j * FILTERS : (j + 1) * FILTERS]
+            filt = net.filters[j].reshape(w, SIZE, FILTERS)
+            gw = np.zeros_like(filt)
+            for i in range(w):
+                code = flat[where[j] + i]
+                x = net.vectors(code)
+                x[code < 0] = 0
+                gw[i] = np.einsum("bfs,bf->sf", x, d)
+                rows.append(code.ravel())
+                deltas.append((d[:, :, None] * filt[i].T[None]).reshape(-1, SIZE))
+            grads.append(gw.reshape(w * SIZE, FILTERS))
+        grads += [dh.sum(axis=0), a.T @ g, np.array([g.sum()], np.float32)]
+        self.steps += 1
+        for q, gr, m, s in zip(self.dense(), grads, self.first, self.second, strict=True):
+            m += 0.1 * (gr - m)
+            s += 0.001 * (gr * gr - s)
+            q -= RATE * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.999**self.steps)) + 1e-7)
+        code, delta = np.concatenate(rows), np.concatenate(deltas)
+        real = code >= 0
+        for name, table, bucket in (("word", net.word, code & (WORD_BUCKETS - 1)), ("stem", net.stem, (code >> 15) & (STEM_BUCKETS - 1))):
+            ids, inverse = np.unique(bucket[real], return_inverse=True)
+            total = np.zeros((len(ids), SIZE), np.float32)
+            np.add.at(total, inverse, delta[real])
+            self.seen[name][ids] += (total * total).mean(axis=1)
+            table[ids] -= 0.05 * total / (np.sqrt(self.seen[name][ids])[:, None] + 1e-6)
+
+    def since(self, before: Training, n: int) -> dict:
+        """What n texts changed: everything dense, and of the embeddings the rows that were touched."""
+        out = {"n": n, "steps": self.steps, "dense": [*self.dense(), *self.first, *self.second]}
+        for name in self.seen:
+            ids = np.flatnonzero(self.seen[name] != before.seen[name])
+            now, then = getattr(self.net, name), getattr(before.net, name)
+            out[name] = (ids, now[ids] - then[ids], self.seen[name][ids] - before.seen[name][ids])
+        return out
+
+    def joined(self, parts: list[dict]) -> None:
+        """Takes in what parts made of this state: the mean by texts, of an embedding's row over the parts that touched it."""
+        n = sum(p["n"] for p in parts)
+        for i, q in enumerate([*self.dense(), *self.first, *self.second]):
+            q[...] = sum(p["dense"][i] * (p["n"] / n) for p in parts)
+        self.steps = max(p["steps"] for p in parts)
+        for name in self.seen:
+            table, weight = getattr(self.net, name), np.zeros(len(self.seen[name]), np.float32)
+            for p in parts:
+                weight[p[name][0]] += p["n"]
+            for p in parts:
+                ids, change, seen = p[name]
+                share = p["n"] / weight[ids]
+                table[ids] += change * share[:, None]
+                self.seen[name][ids] += seen * share

@@ -119,6 +119,45 @@ def test_long_labelled_texts_and_repeated_ids_give_a_bounded_fit(spark, monkeypa
     assert 0 < toxicity.accepted(*tables).count() < len(docs)
 
 
+def test_every_labelled_row_and_word_is_fitted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART_ROWS", 1500)
+    n = 7000
+    docs = [(i, " ".join(["calm", "words", f"w{i % 50}"] * 3 + ["grumf"] * (i % 4 == 0))) for i in range(n)]
+    # The only mark of these texts lies at one place of 6,000 words.
+    docs += [(n + i, " ".join(["calm"] * (1500 + 61 * i) + ["zzark"] * (i % 2) + ["calm"] * (4500 - 61 * i))) for i in range(60)]
+    labels = [(i, int(i % 4 == 0)) for i in range(n)] + [(n + i, i % 2) for i in range(60)]
+    seen, saved = [], toxicity.saved
+
+    def spy(df, name):
+        out = saved(df, name)
+        seen.extend((r.part, r.apart, len(r.code)) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(toxicity, "saved", spy)
+    tables = spark.createDataFrame(docs + docs[:9], "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fitted(*tables)
+    used = [t for i, t in docs if zlib.crc32(str(i).encode()) % toxicity.DIVISOR]
+    assert sorted(len(t.split()) for t in used) == sorted(c for *_, c in seen)
+    assert len({p for p, *_ in seen}) == 4 and len({a for _, a, _ in seen}) == 2
+    predicted = model.score([t for _, t in docs]) >= 0.5
+    right = [p == bool(y) for p, (_, y) in zip(predicted, labels, strict=True)]
+    assert np.mean(right) > 0.99 and np.mean(right[n:]) > 0.9
+
+
+def test_peaks_in_pieces_equal_those_of_the_whole(monkeypatch):
+    net, texts = convnet.Net.new(7), ["", "a b", " ".join(f"w{i % 301}" for i in range(900)), "the und x", ""]
+    laid = convnet._laid_out([convnet.codes(t) for t in texts])
+    where, top = convnet.peaks(net, *laid)
+    for chunk in (7, 100):
+        monkeypatch.setattr(convnet, "CHUNK", chunk)
+        again, high = convnet.peaks(net, *laid)
+        assert np.allclose(high, top, atol=1e-6) and np.mean(np.array(again) == np.array(where)) > 0.99
+
+
+def test_equal_scores_of_both_labels_get_no_threshold_between_them():
+    assert toxicity._cut(np.array([1.0, 2, 2, 3]), np.array([0, 1, 0, 1]), np.ones(4)) in (1.5, 2.5)
+
+
 def test_extra_columns_with_clashing_names_pass_through(spark):
     docs, labels = corpus(300)
     rows = spark.createDataFrame([(i, t, 7, "s", 0.25, [1]) for i, t in docs], "doc_id long, text string, y int, code string, score double, toxic array<int>")
